@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,15 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let go of shuffle files that only finished queries used.
+
+        Spark frees them once the driver's JVM has collected the plans that
+        made them; after a large table was saved this is worth asking for.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Remove the files of a saved table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
