@@ -11,6 +11,10 @@ from quillmesh.llm.setjoin import SimilarSets
 from quillmesh.session import Scratch
 
 
+#: Censored values that are broadcast.
+MOST_CENSORED = 100_000
+
+
 def feature_sets(features: DataFrame, questions: DataFrame, vocab: DataFrame, least: int = 10) -> DataFrame:
     """``(id, tokens)``: each question's clean features, without censored ones, as hashes that hold its reduced category too.
 
@@ -19,6 +23,8 @@ def feature_sets(features: DataFrame, questions: DataFrame, vocab: DataFrame, le
     categories share no token.
     """
     censored = vocab.where(vocab["censored"] == 1).select(clean_feature(vocab["feature"]).alias("feature")).where("feature is not null").distinct()
+    if censored.limit(MOST_CENSORED + 1).count() <= MOST_CENSORED:
+        censored = F.broadcast(censored)  # else the join shuffles
     sets = (
         features.select(features["question_id"].alias("id"), clean_feature(features["feature"]).alias("feature"))
         .where("id is not null and feature is not null")
@@ -75,7 +81,7 @@ class MarkovClusters:
 def clusters(features: DataFrame, questions: DataFrame, vocab: DataFrame, num: int = 3, den: int = 10, least: int = 10) -> tuple[SimilarSets, MarkovClusters]:
     """Similarity graph of questions and its Markov clustering."""
     scratch = Scratch(features.sparkSession)
-    graph = SimilarSets(feature_sets(features, questions, vocab, least), num, den, scratch)
+    graph = SimilarSets(feature_sets(features, questions, vocab, least), num, den, scratch, planes=256)
     sim = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return graph, MarkovClusters(graph.pairs.groupBy("a", "b").agg(F.max(sim).alias("sim")), scratch)
 

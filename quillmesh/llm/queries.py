@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import ftp_rewrite
-from quillmesh.llm import components, markov, neardup, overlap, terms
+from quillmesh.llm import components, leaks, markov, mixing, neardup, overlap, quality, terms
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,39 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items of every document, with the number of passages and of words to remove."""
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "test_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "source_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).chosen
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"), "word")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).where("p_prose < 0.5").select("doc_id")
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d)
+
+
 def queries() -> dict[str, Query]:
-    own = (p2_found, p2_group_sizes, p3_found, p3_clusters, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_scores, p7_found)
+    own = (p2_found, p2_group_sizes, p3_found, p3_clusters, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_stats)
     return {f.__name__: f for f in own}

@@ -245,6 +245,7 @@ class SimilarSets:
         # an id with several sets may stand for several classes; each keeps its own row
         self.classes = scratch.save(own.groupBy("d1", "d2").agg(F.min("id").alias("cid"), F.first("tokens").alias("tokens")).select("cid", "tokens"))
         scratch.drop(own)
+        scratch.release()
         counts = self.classes.select(F.explode("tokens").alias("token")).groupBy("token").count()
         total = self.classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
         least = max(64, total // MOST_HEAVY)  # so no more than MOST_HEAVY tokens can be as frequent
@@ -256,6 +257,8 @@ class SimilarSets:
         schema = "key bigint, cid bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(words))
         postings = self.classes.mapInArrow(_postings(heavy, num, den, planes, max(HOT, least)), schema)
         found = postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den, words), "a bigint, b bigint").distinct()
+        found = scratch.save(found)
+        scratch.release()
         x, y = self.classes.alias("x"), self.classes.alias("y")
         shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
         na, nb = F.size("x.tokens"), F.size("y.tokens")
@@ -265,6 +268,7 @@ class SimilarSets:
             .select("a", "b", shared.alias("shared"), na.alias("na"), nb.alias("nb"))
             .where(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num)
         )
+        scratch.drop(found)
         heavy.unpersist()
 
     def links(self) -> DataFrame:
