@@ -61,13 +61,12 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over a sequence of symbols that ends with a single ``END``."""
+    """Backward search over a sequence of symbols below ``symbols`` that ends with a single ``END``."""
 
-    def __init__(self, seq: np.ndarray, every: int = 16):
+    def __init__(self, seq: np.ndarray, symbols: int, every: int = 16):
         self.n = len(seq)
         sa = suffix_array(seq)
         bwt = seq[sa - 1]
-        symbols = int(seq.max()) + 1
         self.before = np.r_[0, np.cumsum(np.bincount(seq, minlength=symbols))][:symbols]
         self.levels = max(1, int(symbols - 1).bit_length())
         self.ones, self.zeros = [], []
@@ -146,7 +145,7 @@ def _spans(shard: list[tuple[int, int, np.ndarray]], phrases: Phrases) -> Iterat
         word.append(np.flatnonzero(keep) + first)
         doc.append(np.full(len(pieces[-1]), d))
     seq, doc, word = np.r_[np.concatenate(pieces), END], np.concatenate(doc), np.concatenate(word)
-    index = FMIndex(seq)
+    index = FMIndex(seq, FIRST + len(phrases.symbol))
     row, low, high = index.search(phrases.phrases)
     count = high - low
     at = index.locate(np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))

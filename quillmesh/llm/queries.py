@@ -8,12 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import ftp_rewrite
-from quillmesh.llm import components, leaks, markov, mixing, neardup, overlap, quality, terms
+from quillmesh.llm import canonical, components, leaks, markov, mixing, neardup, overlap, quality, terms
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(table(spark, d, "answers"), "text", table(spark, d, "cannonical_answer"), "answer_id", "answer_text")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "answers")
+    m = _mapped(spark, d)
+    return a.join(m, a["text"] == m["value"]).where("response_id is not null").select("response_id", F.col("entry_id").alias("answer_id")).distinct()
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that stand for no entry, with how often they were typed."""
+    a = table(spark, d, "answers")
+    m = _mapped(spark, d).where("entry_id = -1")
+    return a.join(m, a["text"] == m["value"]).groupBy("value").agg(F.count_distinct("response_id").alias("responses"), F.round(F.max("score"), 6).alias("nearest"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = components.contract(table(spark, d, "question_matches"), "left_id", "right_id")
     return found.select("group_id", F.col("id").alias("question_id"))
@@ -127,5 +144,5 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p2_found, p2_group_sizes, p3_found, p3_clusters, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_stats)
+    own = (p1_found, p1_unmatched, p2_found, p2_group_sizes, p3_found, p3_clusters, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_stats)
     return {f.__name__: f for f in own}
