@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import words
-from quillmesh.llm.setjoin import HOT, MOST_HEAVY, _mix, sketches
+from quillmesh.llm.setjoin import MOST_HEAVY, _mix, sketches
 from quillmesh.session import Scratch
 
 GRAM, WINDOW = 5, 4
+#: Texts with a fingerprint from which it seeds only together with a word.
+OFTEN = 1024
 
 
 def winnow(flat: np.ndarray, n: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +160,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), pa.array(seeds, pa.int32()), pa.array(covered, pa.float64())], names=["a", "b", "shared", "either", "runs", "covered"])
 
 
-def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, num: int = 7, den: int = 10, least: int = 10) -> DataFrame:
+def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, num: int = 7, den: int = 10, least: int = 10, hot: int = OFTEN) -> DataFrame:
     """Pairs of a training and a held-out record with the same or nearly the same text.
 
     Args:
@@ -166,6 +168,7 @@ def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, nu
         flags: ``(id, train, held)``; a record may be both, null is false.
         num, den: the least overlap of the two sets of words, as a fraction.
         least: texts with fewer distinct words are left out.
+        hot: see below.
 
     Returns:
         ``(train_id, held_id, shared, either, runs, covered)``, with the size
@@ -175,7 +178,7 @@ def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, nu
         in either order. Texts without a common fingerprint aren't found.
 
     Equal texts are one class until the end, so a group of copies costs no
-    more than its own pairs. A fingerprint of ``HOT`` classes or more joins
+    more than its own pairs. A fingerprint of ``hot`` classes or more joins
     only together with a word of each text's prefix.
     """
     spark = rows.sparkSession
@@ -184,7 +187,7 @@ def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, nu
     own = scratch.save(
         rows.select(rows[record].cast("bigint").alias("id"), text.alias("t"))
         .where("id is not null and t is not null")
-        .join(flags, "id")
+        .join(flags.select("id", "train", "held"), "id")
         .where("train or held")
         .select("id", "train", "held", hashed.alias("words"))
         .select("*", F.array_sort(F.array_distinct("words")).alias("tokens"), *(F.xxhash64(F.lit(k), F.col("words")).alias(f"d{k}") for k in (1, 2)))
@@ -199,14 +202,14 @@ def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, nu
         .select(F.col("d1").alias("cid"), "train", "held", "words", "tokens")
     )
     total = classes.agg(F.sum(F.size("words"))).first()[0] or 0
-    often = max(HOT, 2 * total // MOST_HEAVY)
+    often = max(hot, 2 * total // MOST_HEAVY)
     fps = classes.mapInArrow(_fingerprints(True), "fp bigint").groupBy("fp").count().where(F.col("count") >= often)
-    hot = spark.sparkContext.broadcast(np.sort(fps.select("fp").toArrow().column(0).to_numpy()))
+    often_fp = spark.sparkContext.broadcast(np.sort(fps.select("fp").toArrow().column(0).to_numpy()))
     least_df = max(64, total // MOST_HEAVY)
     table = classes.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least_df).toArrow()
     order = np.argsort(table.column(0).to_numpy())
     heavy = spark.sparkContext.broadcast(tuple(table.column(k).to_numpy()[order] for k in (0, 1)))
-    seeds = classes.mapInArrow(_fingerprints(False, heavy, hot, num, den), "key bigint, cid bigint, train boolean, held boolean, n int, s0 bigint, s1 bigint")
+    seeds = classes.mapInArrow(_fingerprints(False, heavy, often_fp, num, den), "key bigint, cid bigint, train boolean, held boolean, n int, s0 bigint, s1 bigint")
     x, y = seeds.where("train").alias("x"), seeds.where("held").alias("y")
     apart = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     both = F.col("x.n") + F.col("y.n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import ftp_rewrite
 from quillmesh.llm import canonical, components, leaks, markov, mixing, neardup, overlap, quality, terms
+from quillmesh.llm.sql import oracle_sql  # noqa: F401
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,7 @@ def _mapped(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "answers")
     m = _mapped(spark, d)
-    return a.join(m, a["text"] == m["value"]).where("response_id is not null").select("response_id", F.col("entry_id").alias("answer_id")).distinct()
+    return a.join(m, a["text"] == m["value"]).where("response_id is not null").select(a["response_id"], m["entry_id"].alias("answer_id")).distinct()
 
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:

@@ -224,17 +224,18 @@ class SimilarSets:
             counts once.
         num, den: the least overlap as a fraction, above 0.
         planes: bits of a sketch, a multiple of 64.
+        hot: sets that hold a token from which it is no block of its own.
 
     ``members`` is ``(id, cid)`` with one row per different id and set, ``cid``
     the smallest id that has the same set (an id given with several sets has
     each of them); ``pairs`` is ``(a, b, shared, na,
     nb)`` with one row per pair of different sets, exact: sizes and shared
     tokens are of the sets themselves. No pair is lost and nothing is capped:
-    tokens held by ``HOT`` sets or more become blocks only two at a time, and
+    tokens held by ``hot`` sets or more become blocks only two at a time, and
     blocks that are still hot are cut into chunks that meet pairwise.
     """
 
-    def __init__(self, sets: DataFrame, num: int, den: int, scratch: Scratch, planes: int = 128):
+    def __init__(self, sets: DataFrame, num: int, den: int, scratch: Scratch, planes: int = 128, hot: int = HOT):
         spark = sets.sparkSession
         digest = [F.xxhash64(F.lit(k), F.col("tokens")).alias(f"d{k}") for k in (1, 2)]
         own = scratch.save(
@@ -255,7 +256,7 @@ class SimilarSets:
         heavy = spark.sparkContext.broadcast((token[order], df[order]))
         words = planes // 64
         schema = "key bigint, cid bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(words))
-        postings = self.classes.mapInArrow(_postings(heavy, num, den, planes, max(HOT, least)), schema)
+        postings = self.classes.mapInArrow(_postings(heavy, num, den, planes, max(hot, least) if hot == HOT else hot), schema)
         found = postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den, words), "a bigint, b bigint").distinct()
         found = scratch.save(found)
         scratch.release()
