@@ -18,8 +18,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 #: Least tf-idf and entity similarity at which the queries link two questions.
-LINK = 0.25
-ENTITY_LINK = 6
+LINK = 0.5
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
