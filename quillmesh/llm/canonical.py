@@ -139,7 +139,7 @@ class Index:
         df = df or Counter(k for _, g in rows for k in g)
         n = max(1, n or len(rows))
         words = words or Counter(w for ws in self.words for w in set(ws))
-        self.usual = {w for w, c in words.items() if c > max(1, n // 100)}
+        self.usual = {w for w, c in words.items() if c > max(9, n // 100)}
         self.weight = {k: self._scale(k) * math.log(1 + n / v) for k, v in df.items()}
         self.unseen = math.log(1 + n)
         lists = defaultdict(list)
