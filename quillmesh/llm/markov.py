@@ -50,7 +50,7 @@ class MarkovClusters:
 
     ``flow`` is the last matrix ``(i, j, w)``: of the flow that starts in j the
     share w ends in i. ``attractors`` is ``(j, i)``, each vertex with the vertex
-    its flow is strongest to, the smaller id of a tie, or where that one's own
+    its flow is strongest to, the smallest id of a tie, or where that one's own
     flow goes. No pairs give empty
     tables.
     """
@@ -76,8 +76,9 @@ class MarkovClusters:
             if unsettled.isEmpty():
                 break
         self.flow = flow
-        # flows that differ by rounding only are a tie; attractors that flow into each other are one
-        first = scratch.save(flow.groupBy("j").agg(F.max(F.struct(F.round("w", 6).alias("w"), (-F.col("i")).alias("i"))).alias("m")).select("j", (-F.col("m.i")).alias("i")))
+        # rows within a tenth of the strongest are a tie; attractors that flow into each other are one
+        near = flow.withColumn("top", F.max("w").over(column)).where("w >= 0.9 * top")
+        first = scratch.save(near.groupBy("j").agg(F.min("i").alias("i")))
         own = first.select(F.col("j").alias("i"), F.col("i").alias("r"))
         self.attractors = scratch.save(first.join(own, "i").select("j", F.col("r").alias("i")))
 
