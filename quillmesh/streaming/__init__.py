@@ -1 +1 @@
-
+"""Streaming operators: none, since no query of this engine reads a stream."""
