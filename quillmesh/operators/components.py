@@ -35,3 +35,10 @@ def connected(edges: DataFrame, left: str = "a", right: str = "b", scratch: Scra
         size = now
     stars = e.select(F.col("u").alias("rec_id"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("rec_id"), "component").distinct()).unionByName(alone.select("rec_id", F.col("rec_id").alias("component"))).groupBy("rec_id").agg(F.min("component").alias("component"))
+
+
+def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``(rec_id, cluster)``: two clusterings joined where their clusters share a record."""
+    both = one.select("rec_id", F.concat(F.lit("a"), "cluster").alias("k")).unionByName(other.select("rec_id", F.concat(F.lit("b"), "cluster").alias("k")))
+    first = both.groupBy("k").agg(F.min("rec_id").alias("a"))
+    return connected(both.join(first, "k").select("a", F.col("rec_id").alias("b"))).select("rec_id", F.col("component").alias("cluster"))

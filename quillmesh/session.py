@@ -44,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def tasks(spark: SparkSession, rows: int = 0, each: int = 1) -> int:
+    """Tasks for a step whose work is in computing, not in bytes: AQE would merge its small partitions to a few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, rows // each)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and reuse results.
 

@@ -146,3 +146,11 @@ def test_precision_recall(spark):
         hits += b < 3
         want.append(((a, b), hits / n, round(hits / 3, 6)))
     assert got == sorted(want)
+
+
+def test_merged_clusterings(spark):
+    from quillmesh.operators.components import merged
+
+    a = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "rec_id bigint, cluster bigint")
+    b = spark.createDataFrame([(2, 2), (3, 2), (4, 4), (5, 4)], "rec_id bigint, cluster bigint")
+    assert groups(merged(a, b)) == [[1, 2, 3], [4, 5]]

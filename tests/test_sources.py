@@ -74,3 +74,20 @@ def test_entry_and_catalog(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert runs.grid(spark).count() == 15
+
+
+def test_sinks(spark, tmp_path):
+    from quillmesh.sources import sinks
+
+    df = spark.createDataFrame([(1, "a")], "question_id bigint, text string")
+    sinks.save(df, str(tmp_path / "m.parquet"))
+    assert sinks.load(spark, str(tmp_path / "m.parquet")).collect() == df.collect()
+    assert sinks.sql(spark, str(tmp_path), "select count(*) as n from m").first().n == 1
+    assert sinks.rendered(df).first().value == '{"question_id":1,"text":"a"}'
+    (tmp_path / "d.json").write_text('{"id": 1, "t": "x"}\nbroken\n')
+    assert {tuple(r) for r in sinks.json_documents(spark, str(tmp_path / "d.json"), "id bigint, t string").collect()} == {(1, "x"), (None, None)}
+    row = spark.createDataFrame([(0.5,) * 7], ", ".join(f"{k} double" for k in sinks.FIGURES))
+    assert sinks.report_text(row, Options(output_format="csv")).endswith("0.500000,2.0,-1")
+    assert sinks.report_text(row, Options(output_format="none")) == ""
+    assert "cluster f1: 0.500000" in sinks.report_text(row, Options())
+    assert sinks.header(Options()).endswith("vi,Threshold,Limit")
