@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import WHITE
+from quillmesh.session import tasks
 
 #: Fixed values of the normaliser: what typists add, words that say nothing, and ways to write a small number.
 FILLER = re.compile(r"^\s*(?:(?:the\s+)?answer(?:\s+is|\s*:)|i\s+think|is\s+it|uh+|um+|maybe|perhaps)(?![^\W_])|(?:\(\s*not\s+sure\s*\)|\bnot\s+sure|\bmaybe|\bi\s+think)[\s?.!]*$|\[\s*or\s[^\]]*\]?")
@@ -256,7 +257,7 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str,
         of = lambda w: listed.select("t").mapInArrow(_counted(w), "k string").groupBy("k").count()
         df = {r[0]: r[1] for r in of(False).collect()}
         words = {r[0]: r[1] for r in of(True).where(F.col("count") > n // 100).collect()}
-    distinct = values.select(values[value].alias("value")).where(F.btrim("value", F.lit(WHITE)) != "").distinct()
+    distinct = values.select(values[value].alias("value")).where(F.btrim("value", F.lit(WHITE)) != "").distinct().repartition(tasks(spark))
     found = None
     for k in range(shards):
         part = listed.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == k).collect()

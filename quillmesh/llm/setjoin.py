@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.session import Scratch
+from quillmesh.session import Scratch, tasks
 
 #: Most tokens whose frequency is handed to every task (12 bytes each).
 MOST_HEAVY = 1 << 20
@@ -257,7 +257,7 @@ class SimilarSets:
         words = planes // 64
         schema = "key bigint, cid bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(words))
         postings = self.classes.mapInArrow(_postings(heavy, num, den, planes, max(hot, least) if hot == HOT else hot), schema)
-        found = postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den, words), "a bigint, b bigint").distinct()
+        found = postings.repartition(tasks(spark, total, 1_000_000), "key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den, words), "a bigint, b bigint").distinct()
         found = scratch.save(found)
         scratch.release()
         x, y = self.classes.alias("x"), self.classes.alias("y")
