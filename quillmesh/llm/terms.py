@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import clean_feature
+from quillmesh.session import Scratch
 
 
 def record_terms(rows: DataFrame, record: str, position: str, term: str) -> DataFrame:
@@ -69,7 +70,7 @@ def distinctiveness(rows: DataFrame, record: str, position: str, term: str, prio
     A hot term's statistics, or a hot record's total, meet their rows in sort
     merge joins whose large side AQE splits.
     """
-    terms = record_terms(rows, record, position, term)
+    terms = Scratch(rows.sparkSession).save(record_terms(rows, record, position, term))  # read three times
     of_term = terms.groupBy("term").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_records"))
     of_rec = terms.groupBy("rec").agg(F.sum("n").alias("n_rec_rows"))
     whole = of_rec.agg(F.count(F.lit(1)).alias("n_rec"), F.sum("n_rec_rows").alias("n_all"))
