@@ -481,7 +481,7 @@ def parameter_grid(spark, d):
 @query("select n, round(1.0/n,6) as inverse, round(1.0/sqrt(n),6) as inverse_sqrt, round(1.0/ln(n),6) as inverse_log from (select count(distinct question_id)::double as n from questions)")
 def threshold_constants(spark, d):
     n = t(spark, d, "questions").agg(F.count_distinct("question_id").cast("double").alias("n"))
-    return n.select("n", F.round(1 / F.col("n"), 6).alias("inverse"), F.round(1 / F.sqrt("n"), 6).alias("inverse_sqrt"), F.round(1 / F.ln("n"), 6).alias("inverse_log"))
+    return n.select("n", *(F.round(F.try_divide(F.lit(1.0), c), 6).alias(k) for k, c in (("inverse", F.col("n")), ("inverse_sqrt", F.sqrt("n")), ("inverse_log", F.ln("n")))))
 
 
 def queries() -> dict[str, Query]:
