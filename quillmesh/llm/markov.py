@@ -43,8 +43,9 @@ class MarkovClusters:
     Args:
         pairs: ``(a, b, sim)``, one row per undirected edge, ``sim`` above 0.
         inflation: power that strengthens strong flows; higher splits more.
-        prune: flows below this are dropped, so that a column keeps at most
-            ``1 / prune`` entries.
+        prune: flows below this share of their column's strongest are dropped,
+            so that a column never loses its strongest entries, however many
+            they are.
         rounds: most expansions; they end earlier once every column's flow has
             settled on one attractor or evenly on several.
 
@@ -67,12 +68,12 @@ class MarkovClusters:
             left, right = flow.select(F.col("i"), F.col("j").alias("k"), F.col("w").alias("u")), flow.select(F.col("i").alias("k"), F.col("j"), F.col("w").alias("v"))
             squared = left.join(right, "k").groupBy("j", "i").agg(F.sum(F.col("u") * F.col("v")).alias("w"))
             powered = squared.select("i", "j", F.pow("w", F.lit(inflation)).alias("w"))
-            kept = powered.select("i", "j", (F.col("w") / F.sum("w").over(column)).alias("w")).where(F.col("w") >= prune)
+            kept = powered.withColumn("top", F.max("w").over(column)).where(F.col("w") >= prune * F.col("top"))
             new = scratch.save(kept.select("i", "j", (F.col("w") / F.sum("w").over(column)).alias("w")))
             scratch.drop(flow)
             flow = new
             self.rounds += 1
-            unsettled = flow.groupBy("j").agg((F.max("w") - F.sum(F.col("w") * F.col("w"))).alias("chaos")).where("chaos > 1e-3")
+            unsettled = flow.groupBy("j").agg((1 - F.sum(F.col("w") * F.col("w")) / F.max("w")).alias("chaos")).where("chaos > 1e-3")
             if unsettled.isEmpty():
                 break
         self.flow = flow
@@ -96,11 +97,13 @@ def joined_clusters(graph: SimilarSets, flow: MarkovClusters, size: int = 3) ->
 
     Flow never leaves a component, so hooking every vertex to its attractor
     and the attractors of each edge's ends to each other gives all that belong
-    together directly or over others. Clusters under ``size`` are left out.
+    together directly or over others. An end without an attractor stands for
+    itself. Clusters under ``size`` are left out.
     """
     to = flow.attractors
     x, y = to.select(F.col("j").alias("a"), F.col("i").alias("x")), to.select(F.col("j").alias("b"), F.col("i").alias("y"))
-    between = graph.pairs.select("a", "b").join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ends = graph.pairs.select("a", "b").join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    between = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = (
         to.where("i <> j")
         .select(F.col("i").alias("a"), F.col("j").alias("b"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -204,3 +205,18 @@ def test_question_clusters(spark):
     assert got == want
     shown = markov.described(graph, flow).collect()
     assert all(r.size >= 2 and r.typical for r in shown)
+
+
+@pytest.mark.parametrize("least", [1.0, 0.3])
+def test_a_clique_larger_than_one_over_prune(spark, least):
+    rnd = random.Random(3)
+    pairs = spark.createDataFrame([(a, b, rnd.uniform(least, 1)) for a in range(30) for b in range(a + 1, 30)], "a bigint, b bigint, sim double")
+    m = markov.MarkovClusters(pairs, Scratch(spark), prune=0.05)
+    to = {r.j: r.i for r in m.attractors.collect()}
+    assert to.keys() == set(range(30))
+    assert len(set(to.values())) == 1
+    graph = SimpleNamespace(pairs=pairs, members=spark.createDataFrame([(k, k) for k in range(30)] + [(40, 5)], "id bigint, cid bigint"))
+    want = {(0, k) for k in [*range(30), 40]}
+    assert {tuple(r) for r in markov.joined_clusters(graph, m).collect()} == want
+    lost = SimpleNamespace(attractors=m.attractors.where("j % 2 = 0"))  # an edge counts even if its ends have no attractor
+    assert {tuple(r) for r in markov.joined_clusters(graph, lost).collect()} == want
