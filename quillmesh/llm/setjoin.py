@@ -148,7 +148,8 @@ def sliced_pairs(group: np.ndarray, n: np.ndarray, sk: np.ndarray, num: int, den
         alive[own] &= (~np.uint64(0) << lane[r[own]].astype(np.uint64)) & ~(np.uint64(1) << lane[r[own]].astype(np.uint64))
         near = (alive != 0) & (least_n[b] * num <= n[r] * den)
         r, b, alive = r[near], b[near], alive[near]
-        radius = ((den - num) * (n[r] + most_n[b]) // (den + num)).astype(np.uint64)
+        # no two sketches differ in more bits than there are, and the counters hold no more
+        radius = np.minimum((den - num) * (n[r] + most_n[b]) // (den + num), planes).astype(np.uint64)
         zero = np.zeros(len(r), np.uint64)
         count = [zero] * (int(planes).bit_length())
         for p in range(0, planes, 8):

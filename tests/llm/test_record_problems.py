@@ -144,6 +144,19 @@ def test_a_very_long_text(spark):
     assert {tuple(r) for r in neardup.near_copy_groups(df, "id", df["t"]).collect()} == {(1, 1), (1, 2)}
 
 
+@pytest.mark.parametrize(("num", "planes", "sizes"), [(7, 128, range(700, 1001, 50)), (3, 256, range(480, 561, 20))])
+def test_long_near_copies(spark, num, planes, sizes):
+    data = []
+    for k, n in enumerate(sizes):
+        w = [f"t{k}w{x}" for x in range(n)]
+        data += [(2 * k, w), (2 * k + 1, w[n // 20 :] + [f"t{k}new{x}" for x in range(n // 20)])]
+    short = [f"t0w{x}" for x in range(200)]
+    data += [(100, short), (101, [*short[10:], "other"])]  # in a block with long ones
+    df = spark.createDataFrame(data, "id bigint, words array<string>").select("id", F.expr("transform(words, w -> xxhash64(w))").alias("tokens"))
+    got = {(r.a, r.b) for r in setjoin.SimilarSets(df, num, 10, Scratch(spark), planes).pairs.collect()}
+    assert got == near([(k, set(w)) for k, w in data], num, 10, 10)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     flat, n = rng.integers(0, 50, 200), np.array([3, 0, 7, 90, 100])
