@@ -116,7 +116,7 @@ def joined_clusters(graph: SimilarSets, flow: MarkovClusters, size: int = 3) ->
 
 
 def described(graph: SimilarSets, flow: MarkovClusters, typical: int = 3) -> DataFrame:
-    """``(cluster_id, size, typical)`` of every Markov cluster.
+    """``(cluster_id, size, typical)`` of every Markov cluster, and of copies of one set that is like no other.
 
     ``cluster_id`` is the smallest id of the cluster, ``size`` counts copies of
     a set too, and ``typical`` lists the members that draw the strongest flow
@@ -127,4 +127,5 @@ def described(graph: SimilarSets, flow: MarkovClusters, typical: int = 3) -> Dat
     w = Window.partitionBy("attractor").orderBy(F.desc("mass"), "j")
     top = of.withColumn("k", F.row_number().over(w)).where(F.col("k") <= typical).groupBy("attractor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda s: s["j"].cast("string")), ",").alias("typical"))
     sizes = of.join(graph.members, F.col("j") == F.col("cid")).groupBy("attractor").agg(F.min("id").alias("cluster_id"), F.count_distinct("id").alias("size"))
-    return sizes.join(top, "attractor").select("cluster_id", "size", "typical")
+    alone = graph.members.join(of.select(F.col("j").alias("cid")), "cid", "left_anti").groupBy("cid").agg(F.min("id").alias("cluster_id"), F.count_distinct("id").alias("size")).where("size >= 2")
+    return sizes.join(top, "attractor").select("cluster_id", "size", "typical").unionByName(alone.select("cluster_id", "size", F.col("cid").cast("string").alias("typical")))

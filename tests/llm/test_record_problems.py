@@ -233,3 +233,13 @@ def test_a_clique_larger_than_one_over_prune(spark, least):
     assert {tuple(r) for r in markov.joined_clusters(graph, m).collect()} == want
     lost = SimpleNamespace(attractors=m.attractors.where("j % 2 = 0"))  # an edge counts even if its ends have no attractor
     assert {tuple(r) for r in markov.joined_clusters(graph, lost).collect()} == want
+
+
+def test_copies_without_neighbours_are_a_cluster(spark):
+    sets = {k: [f"{g}{x}" for x in range(12)] for g, ids in {"a": (1, 2, 3), "b": (4, 5), "c": (6,), "d": (7, 8)}.items() for k in ids}
+    sets[8] = [*sets[7][1:], "other"]  # like 7, not the same
+    q = spark.createDataFrame([(k, "History") for k in sets], "question_id bigint, category string")
+    f = spark.createDataFrame([(k, p, w) for k, s in sets.items() for p, w in enumerate(s)], "question_id bigint, token_offset int, feature string")
+    v = spark.createDataFrame([], "feature string, censored int, word_id int")
+    assert {tuple(r) for r in markov.described(*markov.clusters(f, q, v)).select("cluster_id", "size").collect()} == {(1, 3), (4, 2), (7, 2)}
+    assert {tuple(r) for r in markov.described(*markov.clusters(f.where("question_id < 6"), q, v)).collect()} == {(1, 3, "1"), (4, 2, "4")}
