@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from quillmesh.session import Scratch
 
 #: Censored values that are broadcast.
 MOST_CENSORED = 100_000
+#: Expansions after which a flow that still moves is reported instead of awaited.
+MOST_ROUNDS = 100
+#: Expansions where the clusters are joined along the edges anyway.
+JOINED_ROUNDS = 12
 
 
 def feature_sets(features: DataFrame, questions: DataFrame, vocab: DataFrame, least: int = 10) -> DataFrame:
@@ -52,18 +58,18 @@ class MarkovClusters:
     ``flow`` is the last matrix ``(i, j, w)``: of the flow that starts in j the
     share w ends in i. ``attractors`` is ``(j, i)``, each vertex with the vertex
     its flow is strongest to, the smallest id of a tie, or where that one's own
-    flow goes. No pairs give empty
-    tables.
+    flow goes. ``unsettled`` counts the columns whose flow still moved after
+    the last round. No pairs give empty tables.
     """
 
-    def __init__(self, pairs: DataFrame, scratch: Scratch, inflation: float = 2.0, prune: float = 1e-3, rounds: int = 12):
+    def __init__(self, pairs: DataFrame, scratch: Scratch, inflation: float = 2.0, prune: float = 1e-3, rounds: int = MOST_ROUNDS):
         arcs = pairs.select(
             F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))).alias("x"), F.col("sim").cast("double").alias("w")
         ).select("x.i", "x.j", "w")
         loops = arcs.groupBy("j").agg(F.max("w").alias("w")).select(F.col("j").alias("i"), "j", "w")
         column = Window.partitionBy("j")
         flow = scratch.save(arcs.unionByName(loops).select("i", "j", (F.col("w") / F.sum("w").over(column)).alias("w")))
-        self.rounds = 0
+        self.rounds = self.unsettled = 0
         while self.rounds < rounds:
             left, right = flow.select(F.col("i"), F.col("j").alias("k"), F.col("w").alias("u")), flow.select(F.col("i").alias("k"), F.col("j"), F.col("w").alias("v"))
             squared = left.join(right, "k").groupBy("j", "i").agg(F.sum(F.col("u") * F.col("v")).alias("w"))
@@ -73,23 +79,30 @@ class MarkovClusters:
             scratch.drop(flow)
             flow = new
             self.rounds += 1
-            unsettled = flow.groupBy("j").agg((1 - F.sum(F.col("w") * F.col("w")) / F.max("w")).alias("chaos")).where("chaos > 1e-3")
-            if unsettled.isEmpty():
+            moving = flow.groupBy("j").agg((1 - F.sum(F.col("w") * F.col("w")) / F.max("w")).alias("chaos")).where("chaos > 1e-3")
+            if moving.isEmpty():
                 break
+        else:
+            self.unsettled = moving.count()
         self.flow = flow
         # rows within a tenth of the strongest are a tie; attractors that flow into each other are one
         near = flow.withColumn("top", F.max("w").over(column)).where("w >= 0.9 * top")
-        first = scratch.save(near.groupBy("j").agg(F.min("i").alias("i")))
+        self.first = first = scratch.save(near.groupBy("j").agg(F.min("i").alias("i")))
         own = first.select(F.col("j").alias("i"), F.col("i").alias("r"))
         self.attractors = scratch.save(first.join(own, "i").select("j", F.col("r").alias("i")))
 
+    def followed(self) -> DataFrame:
+        """``(j, i)``: each vertex with the smallest id of its cluster, all whose strongest flows lead to the same end."""
+        ends = contract(self.first, "j", "i").select(F.col("id").alias("j"), "group_id")
+        return Scratch(self.first.sparkSession).save(self.first.join(ends, "j", "left").select("j", F.coalesce("group_id", "i").alias("i")))
+
 
-def clusters(features: DataFrame, questions: DataFrame, vocab: DataFrame, num: int = 3, den: int = 10, least: int = 10) -> tuple[SimilarSets, MarkovClusters]:
+def clusters(features: DataFrame, questions: DataFrame, vocab: DataFrame, num: int = 3, den: int = 10, least: int = 10, rounds: int = MOST_ROUNDS) -> tuple[SimilarSets, MarkovClusters]:
     """Similarity graph of questions and its Markov clustering."""
     scratch = Scratch(features.sparkSession)
     graph = SimilarSets(feature_sets(features, questions, vocab, least), num, den, scratch, planes=256)
     sim = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return graph, MarkovClusters(graph.pairs.groupBy("a", "b").agg(F.max(sim).alias("sim")), scratch)
+    return graph, MarkovClusters(graph.pairs.groupBy("a", "b").agg(F.max(sim).alias("sim")), scratch, rounds=rounds)
 
 
 def joined_clusters(graph: SimilarSets, flow: MarkovClusters, size: int = 3) -> DataFrame:
@@ -120,10 +133,13 @@ def described(graph: SimilarSets, flow: MarkovClusters, typical: int = 3) -> Dat
 
     ``cluster_id`` is the smallest id of the cluster, ``size`` counts copies of
     a set too, and ``typical`` lists the members that draw the strongest flow
-    of their cluster, up to ``typical`` of them, ties by id.
+    of their cluster, up to ``typical`` of them, ties by id. Warns of flows
+    that haven't settled.
     """
+    if flow.unsettled:
+        warnings.warn(f"{flow.unsettled} flows haven't settled after {flow.rounds} rounds; their clusters may be preliminary", stacklevel=2)
     mass = flow.flow.groupBy("i").agg(F.sum("w").alias("mass")).select(F.col("i").alias("j"), "mass")
-    of = flow.attractors.join(mass, "j", "left").select("j", F.col("i").alias("attractor"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    of = flow.followed().join(mass, "j", "left").select("j", F.col("i").alias("attractor"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
     w = Window.partitionBy("attractor").orderBy(F.desc("mass"), "j")
     top = of.withColumn("k", F.row_number().over(w)).where(F.col("k") <= typical).groupBy("attractor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda s: s["j"].cast("string")), ",").alias("typical"))
     sizes = of.join(graph.members, F.col("j") == F.col("cid")).groupBy("attractor").agg(F.min("id").alias("cluster_id"), F.count_distinct("id").alias("size"))

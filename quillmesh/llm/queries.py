@@ -43,12 +43,12 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
 
 
-def _clusters(spark: SparkSession, d: str):
-    return markov.clusters(table(spark, d, "features"), table(spark, d, "questions"), table(spark, d, "vocab"))
+def _clusters(spark: SparkSession, d: str, rounds: int = markov.MOST_ROUNDS):
+    return markov.clusters(table(spark, d, "features"), table(spark, d, "questions"), table(spark, d, "vocab"), rounds=rounds)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return markov.joined_clusters(*_clusters(spark, d)).select("cluster_id", F.col("id").alias("question_id"))
+    return markov.joined_clusters(*_clusters(spark, d, markov.JOINED_ROUNDS)).select("cluster_id", F.col("id").alias("question_id"))
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -243,3 +243,20 @@ def test_copies_without_neighbours_are_a_cluster(spark):
     v = spark.createDataFrame([], "feature string, censored int, word_id int")
     assert {tuple(r) for r in markov.described(*markov.clusters(f, q, v)).select("cluster_id", "size").collect()} == {(1, 3), (4, 2), (7, 2)}
     assert {tuple(r) for r in markov.described(*markov.clusters(f.where("question_id < 6"), q, v)).collect()} == {(1, 3, "1"), (4, 2, "4")}
+
+
+def test_flows_settle(spark):
+    path = spark.createDataFrame([(k, k + 1, 1.0) for k in range(13)], "a bigint, b bigint, sim double")
+    m = markov.MarkovClusters(path, Scratch(spark))
+    assert m.rounds > 12  # more than the bound that there was
+    assert m.unsettled == 0
+    assert m.flow.groupBy("j").agg((1 - F.sum(F.col("w") * F.col("w")) / F.max("w")).alias("chaos")).where("chaos > 1e-3").isEmpty()
+
+
+def test_attractors_are_followed_to_their_end(spark):
+    chain = spark.createDataFrame([(k, k + 1, 10.0**k) for k in range(8)], "a bigint, b bigint, sim double")
+    m = markov.MarkovClusters(chain, Scratch(spark), rounds=1)
+    graph = SimpleNamespace(members=spark.createDataFrame([(k, k) for k in range(9)], "id bigint, cid bigint"))
+    assert m.unsettled > 0
+    with pytest.warns(UserWarning, match="settled after 1 rounds"):
+        assert [(r.cluster_id, r.size) for r in markov.described(graph, m).collect()] == [(0, 9)]
