@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import WHITE
@@ -175,28 +175,33 @@ class Index:
         j = int(score.argmax())
         return (k, top, j, float(score[j])) if score[j] > 0 else (k, top, -1, 0.0)
 
-    def match(self, value: str) -> tuple[int, float, float, bool]:
-        """Id of the best entry (-1: none), its cosine, the second best's, and whether the value stands for it.
+    def match(self, value: str) -> tuple[int, float, bool, bool, int, float, bool]:
+        """Id of the best entry (-1: none), its cosine, whether its words agree and whether the value leaves out some; id, cosine and agreement of the second best.
 
         A value that leaves out words of the entry and fits the second best
-        just as well stands for neither.
+        just as well stands for neither; only then the second's words are
+        looked at.
         """
         k, top, j, second = self.best(value)
         if k < 0:
-            return -1, 0.0, 0.0, False
+            return -1, 0.0, False, False, -1, 0.0, False
         typed = tokens(value)
         fits = stands_for(value, typed, self.texts[k], self.words[k], self.usual)
-        if fits and j >= 0 and len(typed) < len(self.words[k]) and not any(w[-1] == "." for w in typed):
-            fits = not stands_for(value, typed, self.texts[j], self.words[j], self.usual)
-        return int(self.ids[k]), top, second, fits
+        short = len(typed) < len(self.words[k]) and not any(w[-1] == "." for w in typed)
+        both = fits and short and j >= 0 and stands_for(value, typed, self.texts[j], self.words[j], self.usual)
+        return int(self.ids[k]), top, fits, short, int(self.ids[j]) if j >= 0 else -1, second, both
+
+
+#: Columns of :meth:`Index.match`.
+MATCH = "entry_id bigint, score double, fits boolean, short boolean, next_id bigint, second double, next_fits boolean"
 
 
 def _matches(shared):
-    """Distinct values to (value, id, score, second, fits)."""
+    """Distinct values to (value, MATCH)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        seen: dict[str, tuple[int, float, float, bool]] = {}
+        seen: dict[str, tuple] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.column(0).slice(start, 4096)
@@ -208,8 +213,8 @@ def _matches(shared):
                             seen.clear()
                         seen[key] = index.match(v)
                     rows.append(seen[key])
-                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([part, *cols], names=["value", "entry_id", "score", "second", "fits"])
+                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part, *cols], names=["value", *(c.split()[0] for c in MATCH.split(", "))])
 
     return run
 
@@ -262,15 +267,12 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str,
     for k in range(shards):
         part = listed.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == k).collect()
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in part], df, words, n))
-        hits = distinct.mapInArrow(_matches(index), "value string, entry_id bigint, score double, second double, fits boolean")
+        hits = distinct.mapInArrow(_matches(index), f"value string, {MATCH}")
         found = hits if found is None else found.unionByName(hits)
-    if shards > 1:
-        w = Window.partitionBy("value").orderBy(F.desc("score"), "entry_id")
-        found = (
-            found.withColumn("next", F.lead("score").over(w))
-            .withColumn("rank", F.row_number().over(w))
-            .where("rank = 1")
-            .withColumn("second", F.greatest("second", F.coalesce("next", F.lit(0.0))))
-        )
-    good = F.col("fits") & (F.col("score") >= threshold) & (F.col("score") - F.col("second") >= margin)
+    if shards > 1:  # the two best of all indexes are among the two best of each
+        entry = lambda i, score, fits, short: F.struct((F.col(i) < 0).alias("none"), (-F.col(score)).alias("down"), F.col(i).alias("id"), F.col(fits).alias("fits"), short.alias("short"))
+        two = F.array(entry("entry_id", "score", "fits", F.col("short")), entry("next_id", "second", "next_fits", F.lit(False)))
+        best = found.groupBy("value").agg(F.array_sort(F.flatten(F.collect_list(two))).alias("x")).select("value", F.col("x")[0].alias("k"), F.col("x")[1].alias("j"))
+        found = best.select("value", F.col("k.id").alias("entry_id"), (-F.col("k.down")).alias("score"), F.col("k.fits").alias("fits"), F.col("k.short").alias("short"), (-F.col("j.down")).alias("second"), F.col("j.fits").alias("next_fits"))
+    good = F.col("fits") & ~(F.col("short") & F.col("next_fits")) & (F.col("score") >= threshold) & (F.col("score") - F.col("second") >= margin)
     return found.select("value", F.when(good, F.col("entry_id")).otherwise(F.lit(-1)).cast("bigint").alias("entry_id"), "score")

@@ -28,6 +28,13 @@ def test_values_are_mapped(spark, most):
     assert not wrong if most > 10 else len(wrong) <= 2  # usual words are few in so small a list
 
 
+def test_a_value_of_two_entries_in_different_indexes(spark):
+    e = spark.createDataFrame([(k, f"Copalux {w}") for k, w in enumerate(["opera", "play", "novel", "symphony", "painting", "ballet"])] + [(20, "Lake Ruvurirk"), (21, "Edkend Jiglarix")], "entry_id bigint, t string")
+    v = spark.createDataFrame([("copalux",), ("copalux play",), ("lake ruvurirk",)], "value string")
+    got = [{r.value: r.entry_id for r in canonical.map_values(v, "value", e, "entry_id", "t", margin=0.0, most=most).collect()} for most in (1000, 4, 2, 1)]
+    assert got == [{"copalux": -1, "copalux play": 1, "lake ruvurirk": 20}] * 4
+
+
 def test_no_entries(spark):
     v = spark.createDataFrame([("a",)], "v string")
     e = spark.createDataFrame([], "i bigint, t string")
