@@ -1,8 +1,11 @@
 """Problem 1: mapping free-entered values to a canonical list.
 
-Values are deduplicated and normalised, candidates come from an inverted index
-of character n-grams over the list, and the best by weighted cosine is accepted
-above a threshold and a margin over the second best.
+Values are deduplicated and normalised. An inverted index of character n-grams
+over the list's words finds the words that a typed word may stand for, and
+their entries are the candidates. These are scored by a soft cosine: words
+weigh by how few entries hold them, and two words a few edits apart count as
+partly the same. The best candidate is accepted above a threshold and a margin
+over the second best; nothing else decides.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,18 @@ FILLER = re.compile(r"^\s*(?:(?:the\s+)?answer(?:\s+is|\s*:)|i\s+think|is\s+it|u
 DROPPED = {"of", "the", "at", "a", "an"}
 NUMBERS = {"1st": 1, "first": 1, "one": 1, "i": 1, "2nd": 2, "second": 2, "ii": 2, "3rd": 3, "third": 3, "iii": 3, "4th": 4, "fourth": 4, "iv": 4, "5th": 5, "fifth": 5, "v": 5, "sixth": 6, "vi": 6, "seventh": 7, "vii": 7, "eighth": 8, "viii": 8}
 ROMAN = {"i", "ii", "iii", "iv", "v", "vi", "vii", "viii"}
-#: Entries whose index is handed to every task; longer lists are joined by gram.
+#: Entries whose index is handed to every task; longer lists are searched in several indexes.
 MOST_ENTRIES = 100_000
+#: Least score of an accepted entry, and its least lead over the next. Between
+#: a value that shares all but its own name with an entry (0.5 at most) and a
+#: name with two edits (0.65 at least, also where the value leaves out the rest).
+THRESHOLD, MARGIN = 0.6, 0.02
+#: Words held by no more entries than this, or this share of them, all weigh the same.
+FEW, SHARE = 3, 1 / 1000
+#: What an edit takes off the likeness of two words, and the likeness of a name to its initial.
+EDIT, INITIAL = 0.1, 0.6
+#: Weight of a lone letter, as a share of a rare word's.
+LETTER = 0.4
 
 
 def plain(text: str) -> str:
@@ -56,29 +69,17 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def grams(words: list[str]) -> Counter:
-    """Character trigrams and pairs of each word with its ends marked, the initial of the first word, numbers and lone letters."""
-    out: Counter = Counter()
-    for n, w in enumerate(words):
-        if w[0] == "#":
-            out[w] += 1
-            continue
-        if n == 0 or w[-1] == ".":
-            out[f"{w[0]}."] += 1
-        if w[-1] == ".":
-            continue
-        p = f"^{w}$"
-        for k in range(len(p) - 2):
-            out[p[k : k + 3]] += 1
-        for k in range(len(p) - 1):
-            out[f"{p[k : k + 2]}"] += 1
-    return out
-
-
 def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap neighbours) from a to b; most + 1 if there are more than ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    i, j = len(a), len(b)
+    while min(i, j) > start and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+    a, b = a[start:i], b[start:j]
     before: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -94,114 +95,194 @@ def distance(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-def allowed(a: str, b: str) -> int:
-    """Edits between two words that may be the same: two, or one if either is short."""
-    return 1 if min(len(a), len(b)) < 5 else 2
+def allowed(a: str) -> int:
+    """Most edits to a word that may still be the same: two, or one if it is short."""
+    return 1 if len(a) < 5 else 2
 
 
-def stands_for(value: str, typed: list[str], entry: str, own: list[str], usual: set[str]) -> bool:
-    """Whether the words typed are the entry's, allowing small edits.
+def few(n: int) -> float:
+    """Entries up to which the frequency of a word in a list of n doesn't matter."""
+    return max(FEW, n * SHARE)
 
-    Every typed word must be close to a word of the entry, or the initial of
-    its first; numbers must agree; and one of the entry's unusual words must be
-    met. Words run together or torn apart are compared as one.
-    """
-    num = lambda x: sorted(w for w in x if w[0] == "#")
-    if num(typed) != num(own):
-        return False
-    words = [w for w in own if w[0] != "#"]
-    rare = [w for w in words if w not in usual] or words
-    met, fits = False, True
-    for w in typed:
-        if w[0] == "#":
-            continue
-        if w[-1] == ".":
-            fits &= bool(words) and words[0][0] == w[0]
-            continue
-        close = [w] if w in words else [e for e in words if e[-1] != "." and distance(w, e, allowed(w, e)) <= allowed(w, e)]
-        fits &= bool(close)
-        met |= any(e in rare for e in close)
-    if fits and met:
-        return True
-    joined = lambda x: "".join(re.findall(r"[^\W_]+", plain(x)))
-    one = joined(value)
-    most = 2 if len(one) > 7 else 1
-    return len(one) > 5 and any(distance(one, x, most) <= most for x in (joined(entry), "".join(rare)))
 
+def bigrams(word: str) -> set[str]:
+    """Distinct character pairs of a word with its ends marked."""
+    p = f"^{word}$"
+    return {p[k : k + 2] for k in range(len(p) - 1)}
 
-class Index:
-    """Weighted n-gram postings of a list of entries."""
-
-    def __init__(self, entries: list[tuple[int, str]], df: dict[str, int] | None = None, words: dict[str, int] | None = None, n: int = 0):
-        own = [(i, t, w) for i, t, w in sorted((int(i), t, tokens(t)) for i, t in entries if t) if w]
-        rows = [(i, grams(w)) for i, _, w in own]
-        self.texts, self.words = [t for _, t, _ in own], [w for _, _, w in own]
-        self.ids = np.array([i for i, _ in rows], np.int64)
-        df = df or Counter(k for _, g in rows for k in g)
-        n = max(1, n or len(rows))
-        words = words or Counter(w for ws in self.words for w in set(ws))
-        self.usual = {w for w, c in words.items() if c > max(9, n // 100)}
-        self.weight = {k: self._scale(k) * math.log(1 + n / v) for k, v in df.items()}
-        self.unseen = math.log(1 + n)
-        lists = defaultdict(list)
-        for r, (_, g) in enumerate(rows):
-            w = {k: self.weight[k] * math.sqrt(c) for k, c in g.items()}
-            norm = math.sqrt(sum(x * x for x in w.values()))
-            for k, x in w.items():
-                lists[k].append((r, x / norm))
-        self.at = {k: (np.array([r for r, _ in v]), np.array([x for _, x in v])) for k, v in lists.items()}
+
+NONE = np.zeros(0, np.int32)
+
+
+class Words:
+    """Inverted index of character n-grams over distinct words."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        at = defaultdict(list)
+        for k, w in enumerate(words):
+            for g in bigrams(w):
+                at[g].append(k)
+        self.at = {g: np.array(v, np.int32) for g, v in at.items()}
+        self.size = np.array([len(w) for w in words], np.int16)
+        self.bags = np.stack([self._bag(w) for w in words]) if words else np.zeros((0, 32), np.int16)
+        self.seen: dict[str, dict[str, float]] = {}
 
     @staticmethod
-    def _scale(gram: str) -> float:
-        """Numbers and initials weigh by what they tell apart, pairs less than trigrams."""
-        return 3.0 if gram[0] == "#" else 1.0 if gram[-1] == "." else 0.6 if len(gram) == 2 else 1.0
-
-    def vector(self, value: str) -> dict[str, float]:
-        """Unit vector of a value, with grams that no entry has as rare as can be."""
-        g = grams(tokens(value))
-        w = {k: self.weight.get(k, self._scale(k) * self.unseen) * math.sqrt(c) for k, c in g.items()}
-        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-        return {k: x / norm for k, x in w.items()}
-
-    def best(self, value: str) -> tuple[int, float, int, float]:
-        """Numbers of the best and the second best entry (-1: none), each with its cosine."""
-        hits = [(self.at[k], x) for k, x in self.vector(value).items() if k in self.at]
-        if not hits or not len(self.ids):
-            return -1, 0.0, -1, 0.0
-        score = np.bincount(np.concatenate([a[0] for a, _ in hits]), weights=np.concatenate([a[1] * x for a, x in hits]), minlength=len(self.ids))
-        k = int(score.argmax())  # the smaller id of a tie
-        top = float(score[k])
-        score[k] = -1.0
-        j = int(score.argmax())
-        return (k, top, j, float(score[j])) if score[j] > 0 else (k, top, -1, 0.0)
-
-    def match(self, value: str) -> tuple[int, float, bool, bool, int, float, bool]:
-        """Id of the best entry (-1: none), its cosine, whether its words agree and whether the value leaves out some; id, cosine and agreement of the second best.
-
-        A value that leaves out words of the entry and fits the second best
-        just as well stands for neither; only then the second's words are
-        looked at.
+    def _bag(word: str) -> np.ndarray:
+        return np.bincount([ord(c) & 31 for c in word], minlength=32).astype(np.int16)
+
+    def alike(self, word: str) -> dict[str, float]:
+        """Words that share a character pair with ``word`` and are few edits apart, with their likeness: 1 less ``EDIT`` for each edit.
+
+        No edit undoes more than three pairs, so one pair more than that
+        finds them all, and the rarest do. Words whose letters differ too much
+        whatever their order are passed over without counting edits.
         """
-        k, top, j, second = self.best(value)
-        if k < 0:
-            return -1, 0.0, False, False, -1, 0.0, False
-        typed = tokens(value)
-        fits = stands_for(value, typed, self.texts[k], self.words[k], self.usual)
-        short = len(typed) < len(self.words[k]) and not any(w[-1] == "." for w in typed)
-        both = fits and short and j >= 0 and stands_for(value, typed, self.texts[j], self.words[j], self.usual)
-        return int(self.ids[k]), top, fits, short, int(self.ids[j]) if j >= 0 else -1, second, both
+        out = self.seen.get(word)
+        if out is not None:
+            return out
+        own, most, out = bigrams(word), allowed(word), {}
+        hits = sorted((self.at.get(g, NONE) for g in own), key=len)[: 3 * most + 1]
+        k = np.concatenate(hits)
+        if len(k):
+            k = np.unique(k[np.abs(self.size[k] - len(word)) <= most])
+            apart = self.bags[k] - self._bag(word)
+            k = k[np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most]
+            for x in k.tolist():
+                other = self.words[x]
+                least = min(most, allowed(other))
+                d = distance(word, other, least)
+                if d <= least:
+                    out[other] = 1.0 - EDIT * d
+        if len(self.seen) >= 100_000:
+            self.seen.clear()
+        self.seen[word] = out
+        return out
+
+
+def run_together(value: str, typed: list[str]) -> str:
+    """A value's words without the spaces between them, numbers left out."""
+    if any(w[0] == "#" for w in typed):
+        return "".join(w.rstrip(".") for w in typed if w[0] != "#")
+    return "".join(re.findall(r"[^\W_]+", plain(value)))
 
 
-#: Columns of :meth:`Index.match`.
-MATCH = "entry_id bigint, score double, fits boolean, short boolean, next_id bigint, second double, next_fits boolean"
+class Index:
+    """A list of entries that is searched by soft cosine.
+
+    Args:
+        entries: ``(id, text)``.
+        usual: how many entries hold a word, for the words that more than
+            :func:`few` hold, counted over the whole list.
+        n: entries of the whole list.
+        threshold, margin: of acceptance; scores too low to matter for it
+            needn't be found.
+    """
+
+    def __init__(self, entries: list[tuple[int, str]], usual: dict[str, int], n: int, threshold: float = THRESHOLD, margin: float = MARGIN):
+        own = [(i, t, list(dict.fromkeys(tokens(t)))) for i, t in sorted((int(i), t) for i, t in entries if t)]
+        own = [x for x in own if x[2]]
+        self.ids, self.own = [x[0] for x in own], [x[2] for x in own]
+        self.threshold, self.least = threshold, threshold - margin
+        self.rare = math.log(1 + n / few(n))
+        self.usual = {w: math.log(1 + n / c) for w, c in usual.items()}
+        self.norm = [math.sqrt(sum(self.weight(w) ** 2 for w in ws)) for ws in self.own]
+        self.at, whole = defaultdict(list), defaultdict(list)
+        for e, (_, text, ws) in enumerate(own):
+            for w in ws:
+                self.at[w].append(e)
+            whole[run_together(text, ws)].append(e)
+        self.whole = dict(whole)
+        self.words = Words(sorted(w for w in self.at if w[0] != "#" and w[-1] != "."))
+        self.wholes = Words(sorted(w for w in self.whole if w))
+
+    def weight(self, word: str) -> float:
+        """Numbers weigh like rare words, lone letters less."""
+        if word[0] == "#":
+            return self.rare
+        return LETTER * self.rare if word[-1] == "." else self.usual.get(word, self.rare)
+
+    def _alike(self, word: str) -> dict[str, float]:
+        return {word: 1.0} if word[0] == "#" or word[-1] == "." else self.words.alike(word)
+
+    def by_words(self, typed: list[str]) -> list[tuple[float, int]]:
+        """The two best entries as (cosine, id), word against word.
+
+        Words that are alike but not the same count with the lesser of their
+        weights, so that a usual word isn't taken for a name. The weightiest
+        words look for candidates first, and only those look with which, and
+        with what follows, an entry can still reach the threshold.
+        """
+        ws = sorted(((self.weight(w), w) for w in typed), key=lambda x: (x[1][0] == "#", -x[0], x[1]))  # numbers find too many
+        norm = math.sqrt(sum(x * x for x, _ in ws))
+        least = self.least * norm - 1e-9
+        left, found, near = norm * norm, set(), defaultdict(list)
+        for x, w in ws:
+            first = left >= least * least
+            left = max(0.0, left - x * x)
+            rest = math.sqrt(left)
+            for v, s in self._alike(w).items():
+                y = self.weight(v)
+                p = s * min(x, y) ** 2
+                near[v].append((p, w))
+                if first:  # no word before this one is met, and what follows brings `rest` at most
+                    for e in self.at.get(v, ()):
+                        if e not in found and p + rest * math.sqrt(max(0.0, self.norm[e] ** 2 - y * y)) >= least * self.norm[e]:
+                            found.add(e)
+        letters = {w for w in typed if w[-1] == "."}
+        best = []
+        for e in found:
+            own = self.own[e]
+            hits = [(p, w, v) for v in own for p, w in near.get(v, ())]
+            if letters and len(own) > 1 and f"{own[0][0]}." in letters:
+                hits.append((LETTER * self.rare * self.weight(own[0]) * INITIAL, f"{own[0][0]}.", own[0]))  # an initial says as much as it weighs
+            score, used = 0.0, set()
+            for p, w, v in sorted(hits, reverse=True):  # each word counts once on either side
+                if (0, w) not in used and (1, v) not in used:
+                    used |= {(0, w), (1, v)}
+                    score += p
+            best.append((score / (norm * self.norm[e]), self.ids[e]))
+        return sorted(best, key=lambda b: (-b[0], b[1]))[:2]
+
+    def by_whole(self, value: str, typed: list[str]) -> list[tuple[float, int]]:
+        """The two best entries as (cosine, id), with all words but numbers taken as one, for words run together or torn apart."""
+        one = run_together(value, typed)
+        if len(one) < 6:
+            return []
+        number = {w for w in typed if w[0] == "#"}
+        best = []
+        for v, s in self.wholes.alike(one).items():
+            for e in self.whole[v]:
+                own = {w for w in self.own[e] if w[0] == "#"}
+                each = self.rare * self.rare
+                words = max(self.norm[e] ** 2 - len(own) * each, 1e-9)
+                score = (words * s + len(own & number) * each) / math.sqrt((words + len(own) * each) * (words + len(number) * each))
+                best.append((score, self.ids[e]))
+        return sorted(best, key=lambda b: (-b[0], b[1]))[:2]
+
+    def match(self, value: str) -> list[tuple[bool, float, int]]:
+        """Candidates as (as one word, cosine, id): the two best by words and, where none of them will do, the two best as one word."""
+        typed = list(dict.fromkeys(tokens(value)))
+        if not typed:
+            return []
+        out = [(False, *b) for b in self.by_words(typed)]
+        if not out or out[0][1] < self.threshold:
+            out += [(True, *b) for b in self.by_whole(value, typed)]
+        return out
+
+
+#: Candidates of a value.
+CANDIDATES = "c array<struct<whole boolean, down double, id bigint>>"
 
 
 def _matches(shared):
-    """Distinct values to (value, MATCH)."""
+    """Distinct values to (value, candidates)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        seen: dict[str, tuple] = {}
+        seen: dict[tuple, list] = {}
+        kind = pa.list_(pa.struct([("whole", pa.bool_()), ("down", pa.float64()), ("id", pa.int64())]))
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.column(0).slice(start, 4096)
@@ -209,43 +290,38 @@ def _matches(shared):
                 for v in part.to_pylist():
                     key = plain(v)  # spellings that come to the same are looked up once in a task
                     if key not in seen:
-                        if len(seen) > 100_000:
+                        if len(seen) >= 100_000:
                             seen.clear()
-                        seen[key] = index.match(v)
+                        seen[key] = [{"whole": w, "down": -s, "id": i} for w, s, i in index.match(v)]
                     rows.append(seen[key])
-                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([part, *cols], names=["value", *(c.split()[0] for c in MATCH.split(", "))])
+                yield pa.RecordBatch.from_arrays([part, pa.array(rows, kind)], names=["value", "c"])
 
     return run
 
 
-def _counted(of_words: bool):
-    """Entries to their distinct grams or words, one row each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [tokens(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([k for w in own for k in sorted(set(w) if of_words else grams(w))], pa.string())], names=["k"])
-
-    return run
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries to their distinct words, one row each."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([w for t in batch.column(0).to_pylist() for w in set(tokens(t))], pa.string())], names=["w"])
 
 
-def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry_text: str, threshold: float = 0.15, margin: float = 0.004, most: int = MOST_ENTRIES) -> DataFrame:
+def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry_text: str, threshold: float = THRESHOLD, margin: float = MARGIN, most: int = MOST_ENTRIES) -> DataFrame:
     """The entry that each distinct value stands for.
 
     Args:
         values, value: the table with the free-entered column.
         entries, entry_id, entry_text: the canonical list; null texts are no
             entries, of equal texts the smallest id counts.
-        threshold, margin: least cosine of the best entry, and least lead
-            over the next, for it to be accepted; its words must also agree.
+        threshold, margin: least soft cosine of the best entry, and least lead
+            over the next, for it to be accepted.
         most: entries in one index. A longer list is searched in several
-            indexes, one after another, with the weights of the whole list.
+            indexes with the weights of the whole list; the two best of all
+            of them decide, so the result is the same.
 
     Returns:
         ``(value, entry_id, score)``, one row per distinct value that is
-        neither null nor blank; ``entry_id`` is -1 and the score that of the
-        nearest entry where the value stands for none.
+        neither null nor blank; ``entry_id`` is -1 where the value stands for
+        none, and the score that of the nearest candidate, 0 without any.
     """
     spark = values.sparkSession
     listed = (
@@ -255,24 +331,25 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str,
         .agg(F.min("i").alias("i"))
         .select("i", "t")
     )
+    counts = listed.select("t").mapInArrow(_words, "w string").groupBy("w").count()
     n = listed.count()
+    usual = {r[0]: r[1] for r in counts.where(F.col("count") > few(n)).collect()}  # at most 1 / SHARE times the words of an entry
     shards = max(1, -(-n // most))
-    df = words = None
-    if shards > 1:  # grams are few whatever the list; words only matter if usual
-        of = lambda w: listed.select("t").mapInArrow(_counted(w), "k string").groupBy("k").count()
-        df = {r[0]: r[1] for r in of(False).collect()}
-        words = {r[0]: r[1] for r in of(True).where(F.col("count") > n // 100).collect()}
-    distinct = values.select(values[value].alias("value")).where(F.btrim("value", F.lit(WHITE)) != "").distinct().repartition(tasks(spark))
+    distinct = values.select(values[value].alias("value")).where(F.btrim("value", F.lit(WHITE)) != "").distinct()
+    # spellings of one value meet in one task, which looks them up once
+    distinct = distinct.repartition(tasks(spark), F.regexp_replace(F.lower("value"), r"[^\p{L}\p{N}]", ""))
     found = None
     for k in range(shards):
-        part = listed.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == k).collect()
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part], df, words, n))
-        hits = distinct.mapInArrow(_matches(index), f"value string, {MATCH}")
+        part = listed.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == k).collect()  # about `most` rows
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part], usual, n, threshold, margin))
+        hits = distinct.mapInArrow(_matches(index), f"value string, {CANDIDATES}")
         found = hits if found is None else found.unionByName(hits)
     if shards > 1:  # the two best of all indexes are among the two best of each
-        entry = lambda i, score, fits, short: F.struct((F.col(i) < 0).alias("none"), (-F.col(score)).alias("down"), F.col(i).alias("id"), F.col(fits).alias("fits"), short.alias("short"))
-        two = F.array(entry("entry_id", "score", "fits", F.col("short")), entry("next_id", "second", "next_fits", F.lit(False)))
-        best = found.groupBy("value").agg(F.array_sort(F.flatten(F.collect_list(two))).alias("x")).select("value", F.col("x")[0].alias("k"), F.col("x")[1].alias("j"))
-        found = best.select("value", F.col("k.id").alias("entry_id"), (-F.col("k.down")).alias("score"), F.col("k.fits").alias("fits"), F.col("k.short").alias("short"), (-F.col("j.down")).alias("second"), F.col("j.fits").alias("next_fits"))
-    good = F.col("fits") & ~(F.col("short") & F.col("next_fits")) & (F.col("score") >= threshold) & (F.col("score") - F.col("second") >= margin)
-    return found.select("value", F.when(good, F.col("entry_id")).otherwise(F.lit(-1)).cast("bigint").alias("entry_id"), "score")
+        found = found.groupBy("value").agg(F.flatten(F.collect_list("c")).alias("c"))
+    of = lambda whole: F.array_sort(F.filter("c", lambda x: x["whole"] == whole))
+    first, one = of(False), of(True)
+    top = lambda x, k: F.coalesce(-F.try_element_at(x, F.lit(k))["down"], F.lit(0.0))
+    pick = F.when((top(first, 1) >= threshold) | (F.size(one) == 0), first).otherwise(one)
+    ranked = found.select("value", pick.alias("p")).select("value", F.try_element_at("p", F.lit(1))["id"].alias("id"), top(F.col("p"), 1).alias("score"), top(F.col("p"), 2).alias("second"))
+    good = (F.col("score") >= threshold) & (F.col("score") - F.col("second") >= margin)
+    return ranked.select("value", F.when(good, F.col("id")).otherwise(F.lit(-1)).cast("bigint").alias("entry_id"), "score")
