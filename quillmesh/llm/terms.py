@@ -80,8 +80,8 @@ def distinctiveness(rows: DataFrame, record: str, position: str, term: str, prio
     own_not, rest_not = ni + F.lit(prior) - own, na - ni + F.lit(prior) - rest
     z = (F.ln(own / own_not) - F.ln(rest / rest_not)) / F.sqrt(F.lit(1.0) / own + F.lit(1.0) / rest)
     return (
-        terms.join(of_rec, "rec")
-        .join(of_term, "term")
+        terms.join(of_term, "term")
+        .join(of_rec, "rec")  # last, so that what follows by record needs no shuffle
         .join(F.broadcast(whole))  # one row
         .select(
             "rec",
@@ -98,10 +98,12 @@ def distinctiveness(rows: DataFrame, record: str, position: str, term: str, prio
 def standing_out(scored: DataFrame, ratio: float = 1.45) -> DataFrame:
     """The one term that sets a record apart, from :func:`distinctiveness`.
 
-    Terms held by one record only are left out. A record appears if it has at
-    least two such terms and its best ``tfidf`` is above 0 and at least
-    ``ratio`` times the second best; ties of the two best give no row.
-    Spark limits each group to its two best rows before the shuffle.
+    Candidates are the terms with a ``z`` above 0, those more frequent in the
+    record than in the whole collection, whatever the prior. The exact check
+    follows: terms held by one record only are left out; a record appears if
+    it has at least two terms, candidate or not, and its candidate's ``tfidf``
+    is above 0 and at least ``ratio`` times that of every other term. Ties of
+    the two best give no row. Spark limits each group to its two best rows.
     """
     w = Window.partitionBy("rec").orderBy(F.desc("tfidf"), F.col("term"))
     two = (
@@ -113,8 +115,8 @@ def standing_out(scored: DataFrame, ratio: float = 1.45) -> DataFrame:
             F.count(F.lit(1)).alias("k"),
             F.max(F.when(F.col("rank") == 1, F.col("tfidf"))).alias("best"),
             F.max(F.when(F.col("rank") == 2, F.col("tfidf"))).alias("next"),
-            F.max(F.when(F.col("rank") == 1, F.col("term"))).alias("term"),
+            F.max(F.when((F.col("rank") == 1) & (F.col("z") > 0), F.col("term"))).alias("term"),
         )
     )
     best: Column = F.col("best")
-    return two.where((F.col("k") == 2) & (best > 0) & (best >= F.lit(ratio) * F.col("next"))).select("rec", "term")
+    return two.where((F.col("k") == 2) & (best > 0) & (best >= F.lit(ratio) * F.col("next")) & F.col("term").isNotNull()).select("rec", "term")

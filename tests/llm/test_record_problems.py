@@ -79,6 +79,16 @@ def test_distinctiveness(tokens):
     assert [tuple(r) for r in terms.standing_out(terms.distinctiveness(tokens, "q", "o", "f")).collect()] == [(2, "c"), (3, "c")]
 
 
+def test_only_overrepresented_terms_stand_out(tokens):
+    scored = terms.distinctiveness(tokens, "q", "o", "f", prior=10.0)
+    whole = scored.groupBy("term").agg(F.sum("n").alias("n_rows"))
+    total = scored.agg(F.sum("n")).first()[0]
+    rows = scored.join(whole, "term").where("z is not null").collect()
+    assert len(rows) == 8
+    assert all((r.z > 1e-12) == (r.n / r.n_rec_rows > r.n_rows / total + 1e-12) for r in rows)
+    assert terms.standing_out(scored.withColumn("z", -F.col("z"))).count() == 0
+
+
 # ---------------------------------------------------------------- problems 3, 5 and 7
 
 
