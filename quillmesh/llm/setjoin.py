@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import Scratch, tasks
 
-#: Most tokens whose frequency is handed to every task (12 bytes each).
-MOST_HEAVY = 1 << 20
-#: Tokens held by so many sets are never a block of their own.
+#: Most tokens whose frequency is handed to every task (16 bytes each), and the sets below which a token's frequency is taken as 0.
+MOST_HEAVY, SELDOM = 1 << 20, 64
+#: Tokens held by so many sets are never a block of their own, whatever the number of sets.
 HOT = 4096
 #: Tasks (record against 64 lanes) compared in one go.
 SLICE = 1 << 14
@@ -45,51 +45,94 @@ def sketches(flat: np.ndarray, row: np.ndarray, rows: int, planes: int) -> np.nd
     return np.packbits(odd.reshape(rows, planes), axis=1, bitorder="little").view(np.uint64)
 
 
-def _postings(heavy, num: int, den: int, planes: int, hot: int):
-    """Rows (cid, tokens) to rows (key, cid, n, s0, s1, ...): one for each block a set is in."""
+def frequencies(part, lists: int, heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a list column, end to end, with their number of sets, and the sizes of the lists.
+
+    The numbers come from the frequent tokens handed to the task, or from the
+    column after the tokens where there are too many of those; 0 if seldom.
+    """
+    column = part.column(lists)
+    n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy()
+    if heavy is None:
+        return flat, part.column(lists + 1).flatten().to_numpy(), n
+    tokens, df = heavy.value
+    if not len(tokens):
+        return flat, np.zeros(len(flat), np.int64), n
+    at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+    return flat, np.where(tokens[at] == flat, df[at], 0), n
+
+
+def prefixes(flat: np.ndarray, df: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens with their frequencies and rows, rarest first in each row, the place of each in its row, and the length of each row's prefix.
+
+    Two sets that overlap enough share a token of their prefixes, and two
+    tokens of prefixes one longer unless one token is enough for them.
+    """
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((flat, df, row))
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    return flat[order], df[order], row, pos, n - (n * num + den - 1) // den + 1
+
+
+def hot_pairs(flat: np.ndarray, row: np.ndarray, warm: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for every two marked tokens of a row, and its row."""
+    at = np.flatnonzero(warm)
+    many = np.bincount(row[at], minlength=rows)
+    after = many[row[at]] - 1 - (np.arange(len(at)) - (np.cumsum(many) - many)[row[at]])  # marked tokens that follow in the row
+    i = np.repeat(np.arange(len(at)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    return _mix(flat[at[i]].view(np.uint64) + np.uint64(7) * _mix(flat[at[j]].view(np.uint64))).view(np.int64), row[at[i]]
+
+
+def _postings(heavy, num: int, den: int, planes: int, hot: int, hot_only: bool):
+    """Rows (cid, tokens[, df]) to rows (key, hot, cid, n, s0, s1, ...): one for each block a set is in; or to the keys of the hot ones alone.
+
+    A token of ``hot`` sets or more is no block, but every two of them are;
+    those are marked, since they may be hot themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_h, df_h = heavy.value
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
                 cid = part.column(0).to_numpy()
-                lists = part.column(1)
-                n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = lists.flatten().to_numpy()
-                row = np.repeat(np.arange(len(n)), n)
-                sk = sketches(flat, row, len(n), planes)
-                df = np.zeros(len(flat), np.int64)
-                if len(tokens_h):
-                    at = np.minimum(np.searchsorted(tokens_h, flat), len(tokens_h) - 1)
-                    df = np.where(tokens_h[at] == flat, df_h[at], 0)
-                order = np.lexsort((flat, df, row))
-                flat, df = flat[order], df[order]
-                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                prefix = n - (n * num + den - 1) // den + 1  # of the set; one longer for pairs of tokens
-                single = (pos < prefix[row]) & ((df < hot) | (n * num <= den)[row])
-                keys, rows = [flat[single]], [row[single]]
-                warm = (pos < prefix[row] + 1) & (df >= hot)
-                for r in np.flatnonzero(np.bincount(row[warm], minlength=len(n)) > 1):
-                    mine = np.flatnonzero(warm & (row == r))
-                    i, j = np.triu_indices(len(mine), 1)
-                    both = _mix(flat[mine[i]].view(np.uint64) + np.uint64(7) * _mix(flat[mine[j]].view(np.uint64)))
-                    for key, c in zip(both, 1 + np.minimum(df[mine[i]], df[mine[j]]) // hot, strict=True):
-                        # a pair as hot as this is split in c chunks; every two chunks meet in one block
-                        k = int(_mix(cid[r : r + 1].view(np.uint64))[0] % np.uint64(c))
-                        x = np.arange(c)
-                        cell = np.minimum(x, k) * c + np.maximum(x, k)
-                        keys.append(_mix(key + _mix(cell.astype(np.uint64))).view(np.int64))
-                        rows.append(np.full(c, r))
-                key, at = np.concatenate(keys), np.concatenate(rows)
+                flat, df, n = frequencies(part, 1, heavy)
+                if not hot_only:
+                    sk = sketches(flat, np.repeat(np.arange(len(n)), n), len(n), planes)
+                flat, df, row, pos, prefix = prefixes(flat, df, n, num, den)
+                inside = pos < prefix[row]
+                single = inside & (df < hot)
+                tiny = inside & (df >= hot) & (n * num <= den)[row]  # one token may be enough for these
+                pair, at = hot_pairs(flat, row, (pos < prefix[row] + 1) & (df >= hot), len(n))
+                if hot_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[flat[tiny], pair])], names=["key"])
+                    continue
+                key, at = np.r_[flat[single], flat[tiny], pair], np.r_[row[single], row[tiny], at]
+                marked = np.arange(len(key)) >= single.sum()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(cid[at]), pa.array(n[at].astype(np.int32)), *(pa.array(sk[at, k].view(np.int64)) for k in range(planes // 64))],
-                    names=["key", "cid", "n", *(f"s{k}" for k in range(planes // 64))],
+                    [pa.array(key), pa.array(marked), pa.array(cid[at]), pa.array(n[at].astype(np.int32)), *(pa.array(sk[at, k].view(np.int64)) for k in range(planes // 64))],
+                    names=["key", "hot", "cid", "n", *(f"s{k}" for k in range(planes // 64))],
                 )
 
     return run
 
 
+def in_chunks(rows: DataFrame, often: DataFrame, who: str, hot: int) -> DataFrame:
+    """Rows whose marked ``key`` is in ``often`` (key, count), cut into chunks of about ``hot`` rows that meet pairwise, each pair in a block of its own.
+
+    The chunk goes by the hash of ``who``. No pair of rows is lost: two chunks
+    meet in the cell of their numbers.
+    """
+    c = F.col("count")
+    many = (F.lit(1) + F.floor(c / hot)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(5), F.col(who)), many.cast("bigint"))
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), many.cast("bigint") - 1), lambda x: F.least(x, own) * many + F.greatest(x, own))
+    met = rows.where("hot").join(often, "key", "left")
+    cut = met.where("count is not null").withColumn("cell", F.explode(cells)).withColumn("key", F.xxhash64("key", "cell")).select(rows.columns)
+    return rows.where("not hot").unionByName(met.where("count is null").select(rows.columns)).unionByName(cut)
+
+
 def _csa(a, b, c):
     u = a ^ b
     return (a & b) | (u & c), u ^ c
@@ -215,6 +258,29 @@ def _compare(num: int, den: int, words: int):
     return run
 
 
+def with_frequencies(sets: DataFrame, who: str, tokens: str, hot: int, scratch: Scratch, most: int | None = None) -> tuple[DataFrame, object, bool]:
+    """Sets ready for :func:`frequencies`, the frequent tokens as a broadcast, and whether any token is held by ``hot`` sets.
+
+    Up to ``most`` (``MOST_HEAVY``) tokens that ``SELDOM`` sets hold are
+    broadcast. Where there are more, nothing is: the frequencies are joined to
+    the sets' tokens, in a column after them.
+    """
+    counts = sets.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    frequent = scratch.save(counts.where(F.col("df") >= min(SELDOM, hot)))
+    any_hot = not frequent.where(F.col("df") >= hot).isEmpty()
+    if frequent.count() <= (MOST_HEAVY if most is None else most):
+        table = frequent.toArrow()
+        token, df = table.column(0).to_numpy(), table.column(1).to_numpy()
+        order = np.argsort(token)
+        return sets, sets.sparkSession.sparkContext.broadcast((token[order], df[order])), any_hot
+    key = [F.col(who).alias("k0"), F.xxhash64(tokens).alias("k1")]  # an id may come with several sets
+    own = sets.select(*key, F.explode(tokens).alias("token")).join(frequent, "token", "left")
+    lists = own.groupBy("k0", "k1").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df"))).alias("x"))
+    rest = [c for c in sets.columns if c not in (who, tokens)]
+    joined = sets.select(*key, *rest).join(lists, ["k0", "k1"]).select(F.col("k0").alias(who), F.col("x.token").alias(tokens), F.col("x.df").alias("df"), *rest)
+    return scratch.save(joined), None, any_hot
+
+
 class SimilarSets:
     """Classes of equal sets, and the pairs of classes that overlap enough.
 
@@ -233,7 +299,8 @@ class SimilarSets:
     nb)`` with one row per pair of different sets, exact: sizes and shared
     tokens are of the sets themselves. No pair is lost and nothing is capped:
     tokens held by ``hot`` sets or more become blocks only two at a time, and
-    blocks that are still hot are cut into chunks that meet pairwise.
+    those of them that ``hot`` sets still hold are cut into chunks that meet
+    pairwise, so that no task compares more than a few ``hot`` sets at once.
     """
 
     def __init__(self, sets: DataFrame, num: int, den: int, scratch: Scratch, planes: int = 128, hot: int = HOT):
@@ -248,17 +315,15 @@ class SimilarSets:
         self.classes = scratch.save(own.groupBy("d1", "d2").agg(F.min("id").alias("cid"), F.first("tokens").alias("tokens")).select("cid", "tokens"))
         scratch.drop(own)
         scratch.release()
-        counts = self.classes.select(F.explode("tokens").alias("token")).groupBy("token").count()
+        source, heavy, any_hot = with_frequencies(self.classes, "cid", "tokens", hot, scratch)
         total = self.classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        least = max(64, total // MOST_HEAVY)  # so no more than MOST_HEAVY tokens can be as frequent
-        table = counts.where(F.col("count") >= least).toArrow()
-        token, df = table.column(0).to_numpy(), table.column(1).to_numpy()
-        order = np.argsort(token)
-        heavy = spark.sparkContext.broadcast((token[order], df[order]))
         words = planes // 64
-        schema = "key bigint, cid bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(words))
-        postings = self.classes.mapInArrow(_postings(heavy, num, den, planes, max(hot, least) if hot == HOT else hot), schema)
-        found = postings.repartition(tasks(spark, total, 1_000_000), "key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den, words), "a bigint, b bigint").distinct()
+        schema = "key bigint, hot boolean, cid bigint, n int, " + ", ".join(f"s{k} bigint" for k in range(words))
+        postings = source.mapInArrow(_postings(heavy, num, den, planes, hot, False), schema)
+        if any_hot:
+            often = scratch.save(source.mapInArrow(_postings(heavy, num, den, planes, hot, True), "key bigint").groupBy("key").count().where(F.col("count") >= hot))
+            postings = in_chunks(postings, often, "cid", hot) if not often.isEmpty() else postings
+        found = postings.drop("hot").repartition(tasks(spark, total, 1_000_000), "key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den, words), "a bigint, b bigint").distinct()
         found = scratch.save(found)
         scratch.release()
         x, y = self.classes.alias("x"), self.classes.alias("y")
@@ -271,7 +336,8 @@ class SimilarSets:
             .where(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num)
         )
         scratch.drop(found)
-        heavy.unpersist()
+        if heavy is not None:
+            heavy.unpersist()
 
     def links(self) -> DataFrame:
         """Edges ``(a, b)``: similar classes, and every copy to its class."""

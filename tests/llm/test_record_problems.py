@@ -114,18 +114,42 @@ def near(sets, num, den, least):
     return {(a, b) for a, s in ok for b, t in ok if a < b and len(s & t) * den >= num * len(s | t)}
 
 
-@pytest.mark.parametrize(("num", "den", "hot", "planes"), [(7, 10, setjoin.HOT, 128), (7, 10, 3, 64), (3, 10, 5, 128)])
-def test_similar_sets_lose_nothing(spark, num, den, hot, planes):
-    data = texts(160, 7)
+@pytest.mark.parametrize(("num", "den", "hot", "planes", "heavy"), [(7, 10, setjoin.HOT, 128, 1 << 20), (7, 10, 3, 64, 1 << 20), (3, 10, 5, 128, 10)])
+def test_similar_sets_lose_nothing(spark, monkeypatch, num, den, hot, planes, heavy):
+    monkeypatch.setattr(setjoin, "MOST_HEAVY", heavy)  # 10: too many frequent tokens for a broadcast
+    least = 10 if num == 7 else 1
+    data = texts(160, 7) + [(200 + k, w) for k, w in enumerate(["v0", "v1", "v0 v1", "v0 v1 v2", "v0 v2", "v0 v3 v4"])]
     df = spark.createDataFrame(data + data[:20] + [(900, None), (901, ""), (None, "x y")], "id bigint, t string").withColumn("tokens", F.lit(1))
-    s = setjoin.SimilarSets(neardup.word_sets(df, "id", df["t"], 10), num, den, Scratch(spark), planes, hot)
-    want = near([(k, set(t.split())) for k, t in data], num, den, 10)
+    s = setjoin.SimilarSets(neardup.word_sets(df, "id", df["t"], least), num, den, Scratch(spark), planes, hot)
+    want = near([(k, set(t.split())) for k, t in data], num, den, least)
     cid = dict(s.members.select("id", "cid").collect())
     got = {(r.a, r.b) for r in s.pairs.collect()}
     assert got == {(min(cid[a], cid[b]), max(cid[a], cid[b])) for a, b in want if cid[a] != cid[b]}
     assert all(cid[a] == cid[b] or (min(cid[a], cid[b]), max(cid[a], cid[b])) in got for a, b in want)
 
 
+def test_hot_keys_are_cut(spark):
+    rows = spark.createDataFrame([(1, True, k) for k in range(1000)] + [(2, True, k) for k in range(5)] + [(3, False, k) for k in range(300)], "key bigint, hot boolean, cid bigint")
+    often = spark.createDataFrame([(1, 1000)], "key bigint, count bigint")
+    cut = setjoin.in_chunks(rows, often, "cid", 100)
+    blocks = {}
+    for r in cut.collect():
+        blocks.setdefault((r.hot, r.key), set()).add(r.cid)
+    assert blocks[True, 2] == set(range(5))
+    assert blocks[False, 3] == set(range(300))
+    hot = [b for (h, k), b in blocks.items() if h and k != 2]
+    assert max(map(len, hot)) < 400
+    met = {(a, b) for x in hot for a in x for b in x if a < b}
+    assert len(met) == 1000 * 999 // 2
+
+
+def test_hot_pairs():
+    flat, row = np.array([5, 6, 7, 8, 9, 10]), np.array([0, 0, 0, 1, 2, 2])
+    key, at = setjoin.hot_pairs(flat, row, np.array([True, False, True, True, True, True]), 3)
+    assert at.tolist() == [0, 2]
+    assert len(set(key.tolist())) == 2
+
+
 def test_sliced_comparison():
     rng = np.random.default_rng(1)
     n = np.sort(rng.integers(5, 60, 300))
