@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import clean_feature, reduced_category
 from quillmesh.llm.components import contract
-from quillmesh.llm.setjoin import SimilarSets
+from quillmesh.llm.setjoin import SimilarSets, whole_groups
 from quillmesh.session import Scratch, tasks
 
 #: Censored values that are broadcast.
@@ -117,18 +117,8 @@ def _blocks(inflation: float, prune: float, rounds: int):
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy() for c in batch.columns]
-            held = cols if held is None else [np.r_[x, y] for x, y in zip(held, cols, strict=True)]
-            if len(held[0]) >= 100_000 and held[0][0] != held[0][-1]:
-                cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1  # the last block may go on
-                yield from flush(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield from flush(*held)
+        for cols in whole_groups(batches, 100_000):
+            yield from flush(*cols)
 
     return run
 

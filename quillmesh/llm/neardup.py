@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import words
+from quillmesh.functions.text import WORD
 from quillmesh.llm.components import contract
 from quillmesh.llm.setjoin import SimilarSets
 from quillmesh.session import Scratch
 
 
+def word_hashes(text):
+    """Hashes of the words of a text, in text order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
+
+
 def word_sets(rows: DataFrame, record: str, text, least: int) -> DataFrame:
     """``(id, tokens)``: hashes of the distinct words of each text with at least ``least`` of them.
 
@@ -19,7 +24,7 @@ def word_sets(rows: DataFrame, record: str, text, least: int) -> DataFrame:
     return (
         rows.select(rows[record].cast("bigint").alias("id"), text.alias("t"))
         .where(F.col("id").isNotNull() & F.col("t").isNotNull())
-        .select("id", F.array_sort(F.array_distinct(F.transform(words(F.col("t")), lambda w: F.xxhash64(w)))).alias("tokens"))
+        .select("id", F.array_distinct(word_hashes(F.col("t"))).alias("tokens"))
         .where(F.size("tokens") >= least)
     )
 

@@ -3,9 +3,11 @@
 A text is read as the hashes of its words. Of every window of rolling hashes
 the least is selected; this is done for the words as written and for the
 distinct words in a fixed order, which seeds texts whose words were moved.
+Short texts, in which a few edits may spoil every window, are also seeded by
+the rarest words, one of which any two texts that overlap enough share.
 Records of different splits meet where they select the same fingerprint, under
-a lossless bound on the difference of their word sets. The seeds of a pair are
-chained collinearly and extended, which gives the coverage.
+a lossless bound on the difference of their word sets. The fingerprints that a
+pair shares are chained collinearly and extended, which gives the coverage.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import words
-from quillmesh.llm.setjoin import MOST_HEAVY, _mix, sketches
-from quillmesh.session import Scratch
+from quillmesh.llm.neardup import word_hashes
+from quillmesh.llm.setjoin import HOT, _mix, as_pairs, found_pairs, frequencies, hot_pairs, in_chunks, prefixes, sketches, whole_groups, with_frequencies
+from quillmesh.session import Scratch, tasks
 
 GRAM, WINDOW = 5, 4
-#: Texts with a fingerprint from which it seeds only together with a word.
-OFTEN = 1024
+#: Distinct words below which a text finds its like by its rarest words too.
+SHORT = 24
+#: Bits of a class's flags.
+TRAIN, HELD = 1, 2
 
 
 def winnow(flat: np.ndarray, n: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,68 +61,87 @@ def winnow(flat: np.ndarray, n: np.ndarray, gram: int = GRAM, window: int = WIND
     return text[picked], pos[picked], h[picked].view(np.int64)
 
 
-def _fingerprints(words_only: bool, heavy=None, hot=None, num: int = 7, den: int = 10):
-    """Classes (cid, train, held, words, tokens) to fingerprints alone, or to rows (key, cid, train, held, n, s0, s1)."""
+def _seeds(heavy, num: int, den: int, hot: int, hot_only: bool):
+    """Classes (cid, tokens[, df], side, words) to rows (key, hot, cid, n, side, s0, s1), or to the keys of the hot ones alone.
+
+    A fingerprint can only be shared by ``hot`` classes if each of its words
+    is; such keys are marked, since they may have to be cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                lists = [part.column(k) for k in (3, 4)]
-                size = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
-                flat = [x.flatten().to_numpy() for x in lists]
-                text, fp = (np.concatenate(x) for x in zip(*((t, f) for t, _, f in (winnow(f, n) for f, n in zip(flat, size, strict=True))), strict=True))
-                pairs = np.unique(np.stack([text, fp], axis=1), axis=0)
-                text, fp = pairs[:, 0], pairs[:, 1]
-                if words_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(fp)], names=["fp"])
-                    continue
-                n, tokens = size[1], flat[1]
+                last = part.num_columns - 1
+                tokens, df, n = frequencies(part, 1, heavy)
                 row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((tokens, row))
+                tokens, df = tokens[order], df[order]
+                keys, rows, marked = [], [], []
+                for flat, size, often in (
+                    (part.column(last).flatten().to_numpy(), part.column(last).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), None),
+                    (tokens, n, df),
+                ):
+                    text, pos, fp = winnow(flat, size)
+                    if heavy is not None and often is None:
+                        known, count = heavy.value
+                        often = np.zeros(len(flat), np.int64)
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                            often = np.where(known[at] == flat, count[at], 0)
+                    at = (np.cumsum(size) - size)[text] + pos
+                    least = np.min([often[at + k] for k in range(GRAM)], axis=0) if often is not None and len(at) else np.full(len(at), hot)
+                    keys.append(fp)
+                    rows.append(text)
+                    marked.append(least >= hot)
+                tokens, df, row, pos, prefix = prefixes(tokens, df, n, num, den)
+                brief = (n * num < SHORT * den)[row]  # whatever overlaps with a short text enough
+                single = brief & (pos < prefix[row]) & (df < hot)
+                key, at = hot_pairs(tokens, row, brief & (pos < prefix[row] + 1) & (df >= hot), len(n))
+                keys += [_mix(tokens[single].view(np.uint64) + np.uint64(11)).view(np.int64), key]
+                rows += [row[single], at]
+                marked += [np.zeros(int(single.sum()), bool), np.ones(len(key), bool)]
+                one = np.unique(np.stack([np.concatenate(rows), np.concatenate(keys), np.concatenate(marked).astype(np.int64)], axis=1), axis=0)
+                at, key, hot_key = one[:, 0], one[:, 1], one[:, 2] > 0
+                if hot_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[hot_key])], names=["key"])
+                    continue
                 sk = sketches(tokens, row, len(n), 128)
-                hot_fp, (tokens_h, df_h) = hot.value, heavy.value
-                is_hot = np.isin(fp, hot_fp)
-                keys, rows = [fp[~is_hot]], [text[~is_hot]]
-                if is_hot.any():  # such a fingerprint seeds only together with a word of the text's prefix
-                    df = np.zeros(len(tokens), np.int64)
-                    if len(tokens_h):
-                        at = np.minimum(np.searchsorted(tokens_h, tokens), len(tokens_h) - 1)
-                        df = np.where(tokens_h[at] == tokens, df_h[at], 0)
-                    order = np.lexsort((tokens, df, row))
-                    tokens = tokens[order]
-                    first = np.cumsum(n) - n
-                    prefix = n - (n * num + den - 1) // den + 1
-                    for t, f in zip(text[is_hot], fp[is_hot], strict=True):
-                        own = tokens[first[t] : first[t] + prefix[t]]
-                        keys.append(_mix(own.view(np.uint64) ^ _mix(np.array([f]).view(np.uint64))).view(np.int64))
-                        rows.append(np.full(len(own), t))
-                key, at = np.concatenate(keys), np.concatenate(rows)
-                cols = [part.column(k).to_numpy(zero_copy_only=False)[at] for k in range(3)]
+                cid, side = part.column(0).to_numpy()[at], part.column(last - 1).to_numpy()[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), *map(pa.array, cols), pa.array(n[at].astype(np.int32)), *(pa.array(sk[at, k].view(np.int64)) for k in (0, 1))],
-                    names=["key", "cid", "train", "held", "n", "s0", "s1"],
+                    [pa.array(key), pa.array(hot_key), pa.array(cid), pa.array(n[at].astype(np.int32)), pa.array(side), *(pa.array(sk[at, k].view(np.int64)) for k in (0, 1))],
+                    names=["key", "hot", "cid", "n", "side", "s0", "s1"],
                 )
 
     return run
 
 
-def chain(a: np.ndarray, b: np.ndarray, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """Collinear seeds of two texts, extended: runs (start in a, start in b, words).
+def _meet(num: int, den: int):
+    """Seeds (key, cid, n, side, s0, s1) sorted by (key, n) to candidate pairs (a, b), a < b, of different splits."""
 
-    The longest ascending chain of common grams (only grams that are alone in
-    both texts seed) is merged on its diagonals, and each run is extended over
-    equal words both ways.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_groups(batches, 100_000):
+            first = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            size = np.diff(np.r_[first, len(cols[0])])
+            both = (size > 1) & (np.bitwise_or.reduceat(cols[3], first) == TRAIN | HELD)
+            keep = np.repeat(both, size)
+            key, cid, n, side, *planes = (x[keep] for x in cols)
+            if not len(key):
+                continue
+            i, j = found_pairs(key, cid, n, planes, num, den)
+            across = ((side[i] & TRAIN > 0) & (side[j] & HELD > 0)) | ((side[i] & HELD > 0) & (side[j] & TRAIN > 0))
+            yield as_pairs(cid[i[across]], cid[j[across]])
+
+    return run
 
-    def grams(x: np.ndarray) -> dict[bytes, int]:
-        at: dict[bytes, int] = {}
-        for p in range(len(x) - gram + 1):
-            k = x[p : p + gram].tobytes()
-            at[k] = -1 if k in at else p
-        return at
 
-    of_b = grams(b)
-    seeds = [(p, of_b[k]) for k, p in grams(a).items() if p >= 0 and of_b.get(k, -1) >= 0]
+def chain(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], gram: int = GRAM) -> list[tuple[int, int, int]]:
+    """Collinear seeds of two texts, extended: runs (start in a, start in b, words).
+
+    The longest chain of seeds that ascends in both texts is merged on its
+    diagonals, and each run is extended over equal words both ways.
+    """
+    seeds = sorted(seeds)
     tails: list[int] = []
     at_tail: list[int] = []
     back = [-1] * len(seeds)
@@ -127,40 +150,56 @@ def chain(a: np.ndarray, b: np.ndarray, gram: int = GRAM) -> list[tuple[int, int
         back[s] = at_tail[k - 1] if k else -1
         tails[k : k + 1] = [q]
         at_tail[k : k + 1] = [s]
-    runs: list[list[int]] = []
-    s = at_tail[-1] if at_tail else -1
     kept = []
+    s = at_tail[-1] if at_tail else -1
     while s >= 0:
         kept.append(seeds[s])
         s = back[s]
+    runs: list[list[int]] = []
     for p, q in reversed(kept):
-        if runs and p - q == runs[-1][0] - runs[-1][1] and p <= runs[-1][0] + runs[-1][2]:
-            runs[-1][2] = p + gram - runs[-1][0]
-        else:
-            runs.append([p, q, gram])
-    for k, run in enumerate(runs):
-        low = (runs[k - 1][0] + runs[k - 1][2], runs[k - 1][1] + runs[k - 1][2]) if k else (0, 0)
-        high = (runs[k + 1][0], runs[k + 1][1]) if k + 1 < len(runs) else (len(a), len(b))
-        while run[0] > low[0] and run[1] > low[1] and a[run[0] - 1] == b[run[1] - 1]:
-            run[0], run[1], run[2] = run[0] - 1, run[1] - 1, run[2] + 1
-        while run[0] + run[2] < high[0] and run[1] + run[2] < high[1] and a[run[0] + run[2]] == b[run[1] + run[2]]:
-            run[2] += 1
+        while runs and runs[-1][0] + runs[-1][2] < p and runs[-1][1] + runs[-1][2] < q and a[runs[-1][0] + runs[-1][2]] == b[runs[-1][1] + runs[-1][2]]:
+            runs[-1][2] += 1
+        low = (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]) if runs else (0, 0)
+        if runs and p - q == runs[-1][0] - runs[-1][1] and p <= low[0]:
+            runs[-1][2] = max(runs[-1][2], p + gram - runs[-1][0])
+            continue
+        cut = max(0, low[0] - p, low[1] - q)  # words that the run before has already
+        if cut < gram:
+            run = [p + cut, q + cut, gram - cut]
+            while not cut and run[0] > low[0] and run[1] > low[1] and a[run[0] - 1] == b[run[1] - 1]:
+                run = [run[0] - 1, run[1] - 1, run[2] + 1]
+            runs.append(run)
+    if runs:
+        last = runs[-1]
+        while last[0] + last[2] < len(a) and last[1] + last[2] < len(b) and a[last[0] + last[2]] == b[last[1] + last[2]]:
+            last[2] += 1
     return [tuple(x) for x in runs]
 
 
+def shared_seeds(a: list[np.ndarray], b: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """For each pair of texts the places of the fingerprints that both select, of those that are alone in either."""
+    at: list[list[dict[int, int]]] = []
+    for texts in (a, b):
+        own: list[dict[int, int]] = [{} for _ in texts]
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        for t, p, f in zip(*(x.tolist() for x in winnow(flat, np.array([len(x) for x in texts], np.int64))), strict=True):
+            own[t][f] = -1 if f in own[t] else p
+        at.append(own)
+    return [[(p, y[f]) for f, p in x.items() if p >= 0 and y.get(f, -1) >= 0] for x, y in zip(*at, strict=True)]
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, words a, words b, shared, either) to (a, b, shared, either, seeds, covered): words of b covered by the chain."""
     for batch in batches:
-        wa, wb = batch.column(2), batch.column(3)
-        seeds, covered = [], []
-        for k in range(batch.num_rows):
-            runs = chain(wa[k].values.to_numpy(), wb[k].values.to_numpy())
-            seeds.append(len(runs))
-            covered.append(sum(r[2] for r in runs) / max(1, len(wb[k].values)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), pa.array(seeds, pa.int32()), pa.array(covered, pa.float64())], names=["a", "b", "shared", "either", "runs", "covered"])
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            wa, wb = ([x.values.to_numpy() for x in part.column(k)] for k in (2, 3))
+            runs = [chain(x, y, s) for x, y, s in zip(wa, wb, shared_seeds(wa, wb), strict=True)]
+            covered = [sum(r[2] for r in x) / max(1, len(y)) for x, y in zip(runs, wb, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 4, 5)), pa.array([len(x) for x in runs], pa.int32()), pa.array(covered, pa.float64())], names=["a", "b", "shared", "either", "runs", "covered"])
 
 
-def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, num: int = 7, den: int = 10, least: int = 10, hot: int = OFTEN) -> DataFrame:
+def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, num: int = 7, den: int = 10, least: int = 10, hot: int = HOT) -> DataFrame:
     """Pairs of a training and a held-out record with the same or nearly the same text.
 
     Args:
@@ -175,59 +214,56 @@ def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, nu
         of both sets' intersection and union, the number of chained runs, and
         the share of the held-out record's words that they cover. A record
         isn't paired with itself; two that are both train and held-out come
-        in either order. Texts without a common fingerprint aren't found.
+        in either order. Pairs of which a text has fewer than ``SHORT``
+        distinct words are all found; of the others those are found that
+        select a common fingerprint, as written or in the order of the words.
 
     Equal texts are one class until the end, so a group of copies costs no
-    more than its own pairs. A fingerprint of ``hot`` classes or more joins
-    only together with a word of each text's prefix.
+    more than its own pairs. A seed shared by ``hot`` classes is cut into
+    chunks that meet pairwise.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
-    hashed = F.transform(words(F.col("t")), lambda w: F.xxhash64(w))
     own = scratch.save(
         rows.select(rows[record].cast("bigint").alias("id"), text.alias("t"))
         .where("id is not null and t is not null")
         .join(flags.select("id", "train", "held"), "id")
         .where("train or held")
-        .select("id", "train", "held", hashed.alias("words"))
-        .select("*", F.array_sort(F.array_distinct("words")).alias("tokens"), *(F.xxhash64(F.lit(k), F.col("words")).alias(f"d{k}") for k in (1, 2)))
+        .select("id", F.coalesce("train", F.lit(False)).alias("train"), F.coalesce("held", F.lit(False)).alias("held"), word_hashes(F.col("t")).alias("words"))
+        .select("*", F.sort_array(F.array_distinct("words")).alias("tokens"), *(F.xxhash64(F.lit(k), F.col("words")).alias(f"d{k}") for k in (1, 2)))
         .where(F.size("tokens") >= least)
     )
-    first = own.groupBy("d1", "d2").agg(F.min("id").alias("cid"))
-    members = scratch.save(own.select("id", "train", "held", "d1", "d2").join(first, ["d1", "d2"]).select("id", "cid", "d1", "train", "held").distinct())
-    classes = scratch.save(
-        own.groupBy("d1", "d2")
-        .agg(F.min("id").alias("cid"), F.max("train").alias("train"), F.max("held").alias("held"), F.first("words").alias("words"), F.first("tokens").alias("tokens"))
-        # a class of its own for each text, also where an id comes with several
-        .select(F.col("d1").alias("cid"), "train", "held", "words", "tokens")
-    )
-    total = classes.agg(F.sum(F.size("words"))).first()[0] or 0
-    often = max(hot, 2 * total // MOST_HEAVY)
-    fps = classes.mapInArrow(_fingerprints(True), "fp bigint").groupBy("fp").count().where(F.col("count") >= often)
-    often_fp = spark.sparkContext.broadcast(np.sort(fps.select("fp").toArrow().column(0).to_numpy()))
-    least_df = max(64, total // MOST_HEAVY)
-    table = classes.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least_df).toArrow()
-    order = np.argsort(table.column(0).to_numpy())
-    heavy = spark.sparkContext.broadcast(tuple(table.column(k).to_numpy()[order] for k in (0, 1)))
-    seeds = classes.mapInArrow(_fingerprints(False, heavy, often_fp, num, den), "key bigint, cid bigint, train boolean, held boolean, n int, s0 bigint, s1 bigint")
-    x, y = seeds.where("train").alias("x"), seeds.where("held").alias("y")
-    apart = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    both = F.col("x.n") + F.col("y.n")
-    found = (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .where((apart * (den + num) <= (den - num) * both) & (F.greatest("x.n", "y.n") * num <= F.least("x.n", "y.n") * den))
-        .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        .distinct()
-    )
+    side = F.max(F.col("train").cast("int")) * TRAIN + F.max(F.col("held").cast("int")) * HELD
+    # numbered, since an id may come with several texts; the numbers hold once they are written
+    classes = scratch.save(own.groupBy("d1", "d2").agg(side.alias("side"), F.first("words").alias("words"), F.first("tokens").alias("tokens")).withColumn("cid", F.monotonically_increasing_id()))
+    members = scratch.save(own.select("id", "train", "held", "d1", "d2").join(classes.select("d1", "d2", "cid"), ["d1", "d2"]).select("id", "cid", "train", "held").distinct())
+    scratch.drop(own)
+    source, heavy, any_hot = with_frequencies(classes.select("cid", "tokens", "side", "words"), "cid", "tokens", hot, scratch)
+    seeds = source.mapInArrow(_seeds(heavy, num, den, hot, False), "key bigint, hot boolean, cid bigint, n int, side int, s0 bigint, s1 bigint")
+    if any_hot:
+        often = scratch.save(source.mapInArrow(_seeds(heavy, num, den, hot, True), "key bigint").groupBy("key").count().where(F.col("count") >= hot))
+        seeds = in_chunks(seeds, often, "cid", hot) if not often.isEmpty() else seeds
+    met = seeds.drop("hot").repartition(tasks(spark), "key").sortWithinPartitions("key", "n").mapInArrow(_meet(num, den), "a bigint, b bigint").distinct()
+    found = met.unionByName(classes.where(F.col("side") == TRAIN | HELD).select(F.col("cid").alias("a"), F.col("cid").alias("b")))
     x, y = classes.alias("x"), classes.alias("y")
     shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    is_train, is_held = (lambda c, bit=bit: F.col(c).bitwiseAND(bit) > 0 for bit in (TRAIN, HELD))
+    entry = lambda p, q, u, v: F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.col(u).alias("wa"), F.col(v).alias("wb"))
+    ways = F.array_compact(
+        F.array(
+            F.when(is_train("sa") & is_held("sb"), entry("a", "b", "wx", "wy")),
+            F.when((F.col("a") != F.col("b")) & is_train("sb") & is_held("sa"), entry("b", "a", "wy", "wx")),
+        )
+    )
     exact = (
         found.join(x, F.col("a") == F.col("x.cid"))
         .join(y, F.col("b") == F.col("y.cid"))
-        .select("a", "b", F.col("x.words").alias("wa"), F.col("y.words").alias("wb"), shared.alias("shared"), (F.size("x.tokens") + F.size("y.tokens") - shared).alias("either"))
+        .select("a", "b", F.col("x.side").alias("sa"), F.col("y.side").alias("sb"), F.col("x.words").alias("wx"), F.col("y.words").alias("wy"), shared.alias("shared"), (F.size("x.tokens") + F.size("y.tokens") - shared).alias("either"))
         .where(F.col("shared") * den >= F.col("either") * num)
+        .select(F.explode(ways).alias("w"), "shared", "either")
+        .select("w.*", "shared", "either")
         .mapInArrow(_aligned, "a bigint, b bigint, shared int, either int, runs int, covered double")
     )
-    train = members.where("train").select(F.col("d1").alias("a"), F.col("id").alias("train_id"))
-    held = members.where("held").select(F.col("d1").alias("b"), F.col("id").alias("held_id"))
+    train = members.where("train").select(F.col("cid").alias("a"), F.col("id").alias("train_id"))
+    held = members.where("held").select(F.col("cid").alias("b"), F.col("id").alias("held_id"))
     return exact.join(train, "a").join(held, "b").where("train_id <> held_id").select("train_id", "held_id", "shared", "either", "runs", "covered")

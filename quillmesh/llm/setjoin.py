@@ -228,32 +228,45 @@ def sliced_pairs(group: np.ndarray, n: np.ndarray, sk: np.ndarray, num: int, den
     return i[keep], j[keep]
 
 
-def _compare(num: int, den: int, words: int):
-    """Postings sorted by (key, n) to candidate pairs (a, b), a < b."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, cid, n = held[0], held[1], held[2].astype(np.int64)
-        i, j = sliced_pairs(key, n, np.stack(held[3:], axis=1), num, den)
-        a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-        pairs = np.unique(np.stack([a[a < b], b[a < b]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of about ``rows`` rows at a time, with no group of the first column cut; groups come one after another."""
+    parts: list[list[np.ndarray]] = []
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append([c.to_numpy() for c in batch.columns])
+        held += batch.num_rows
+        if held >= rows:
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if cols[0][0] != cols[0][-1] else 0
+            if cut:  # the last group may go on in the next batch
+                yield [x[:cut] for x in cols]
+            parts, held = [[x[cut:] for x in cols]], len(cols[0]) - cut
+    if held:
+        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def found_pairs(key: np.ndarray, cid: np.ndarray, n: np.ndarray, planes: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one key whose sketches are near and whose classes differ."""
+    i, j = sliced_pairs(key, n.astype(np.int64), np.stack([x.view(np.uint64) for x in planes], axis=1), num, den)
+    other = cid[i] != cid[j]
+    return i[other], j[other]
+
+
+def as_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, smaller first."""
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _compare(num: int, den: int):
+    """Postings (key, cid, n, s0, ...) sorted by (key, n) to candidate pairs (a, b), a < b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts.append([batch.column(k).to_numpy().view(np.uint64) if k > 2 else batch.column(k).to_numpy() for k in range(3 + words)])
-            rows += batch.num_rows
-            if rows >= 50_000:
-                held = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
-                if cut:  # the last group may go on in the next batch
-                    yield flush([x[:cut] for x in held])
-                parts, rows = [[x[cut:] for x in held]], len(held[0]) - cut
-        if rows:
-            yield flush([np.concatenate(x) for x in zip(*parts, strict=True)])
+        for key, cid, n, *planes in whole_groups(batches, 50_000):
+            i, j = found_pairs(key, cid, n, planes, num, den)
+            yield as_pairs(cid[i], cid[j])
 
     return run
 
@@ -307,7 +320,7 @@ class SimilarSets:
         spark = sets.sparkSession
         digest = [F.xxhash64(F.lit(k), F.col("tokens")).alias(f"d{k}") for k in (1, 2)]
         own = scratch.save(
-            sets.select(F.col("id"), F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.size("tokens") > 0).select("id", "tokens", *digest)
+            sets.select(F.col("id"), F.sort_array(F.array_distinct("tokens")).alias("tokens")).where(F.size("tokens") > 0).select("id", "tokens", *digest)
         )
         first = own.groupBy("d1", "d2").agg(F.min("id").alias("cid"))
         self.members = scratch.save(own.select("id", "d1", "d2").join(first, ["d1", "d2"]).select("id", "cid").distinct())
@@ -323,7 +336,7 @@ class SimilarSets:
         if any_hot:
             often = scratch.save(source.mapInArrow(_postings(heavy, num, den, planes, hot, True), "key bigint").groupBy("key").count().where(F.col("count") >= hot))
             postings = in_chunks(postings, often, "cid", hot) if not often.isEmpty() else postings
-        found = postings.drop("hot").repartition(tasks(spark, total, 1_000_000), "key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den, words), "a bigint, b bigint").distinct()
+        found = postings.drop("hot").repartition(tasks(spark, total, 1_000_000), "key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
         found = scratch.save(found)
         scratch.release()
         x, y = self.classes.alias("x"), self.classes.alias("y")
