@@ -82,18 +82,24 @@ def _seeds(heavy, num: int, den: int, hot: int, hot_only: bool):
                     (part.column(last).flatten().to_numpy(), part.column(last).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), None),
                     (tokens, n, df),
                 ):
-                    text, pos, fp = winnow(flat, size)
                     if heavy is not None and often is None:
                         known, count = heavy.value
                         often = np.zeros(len(flat), np.int64)
                         if len(known):
                             at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                             often = np.where(known[at] == flat, count[at], 0)
-                    at = (np.cumsum(size) - size)[text] + pos
-                    least = np.min([often[at + k] for k in range(GRAM)], axis=0) if often is not None and len(at) else np.full(len(at), hot)
+                    least = np.full(len(flat), hot)  # of the words of the gram at each place
+                    if often is not None:
+                        least = np.r_[np.min([often[k : len(often) - GRAM + 1 + k] for k in range(GRAM)], axis=0), np.zeros(min(len(flat), GRAM - 1), np.int64)] if len(flat) >= GRAM else np.zeros(len(flat), np.int64)
+                    which = np.arange(len(size))
+                    if hot_only:  # texts without a hot gram give none
+                        which = np.unique(np.repeat(which, size)[least >= hot])
+                        own = np.repeat(np.isin(np.arange(len(size)), which), size)
+                        flat, least, size = flat[own], least[own], size[which]
+                    text, pos, fp = winnow(flat, size)
                     keys.append(fp)
-                    rows.append(text)
-                    marked.append(least >= hot)
+                    rows.append(which[text])
+                    marked.append(least[(np.cumsum(size) - size)[text] + pos] >= hot)
                 tokens, df, row, pos, prefix = prefixes(tokens, df, n, num, den)
                 brief = (n * num < SHORT * den)[row]  # whatever overlaps with a short text enough
                 single = brief & (pos < prefix[row]) & (df < hot)
@@ -101,11 +107,17 @@ def _seeds(heavy, num: int, den: int, hot: int, hot_only: bool):
                 keys += [_mix(tokens[single].view(np.uint64) + np.uint64(11)).view(np.int64), key]
                 rows += [row[single], at]
                 marked += [np.zeros(int(single.sum()), bool), np.ones(len(key), bool)]
-                one = np.unique(np.stack([np.concatenate(rows), np.concatenate(keys), np.concatenate(marked).astype(np.int64)], axis=1), axis=0)
-                at, key, hot_key = one[:, 0], one[:, 1], one[:, 2] > 0
+                at, key, hot_key = map(np.concatenate, (rows, keys, marked))
+                if hot_only:
+                    at, key = at[hot_key], key[hot_key]
+                order = np.lexsort((key, at))
+                at, key = at[order], key[order]
+                fresh = np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1])][: len(at)]
+                at, key = at[fresh], key[fresh]
                 if hot_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(key[hot_key])], names=["key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
                     continue
+                hot_key = hot_key[order][fresh]
                 sk = sketches(tokens, row, len(n), 128)
                 cid, side = part.column(0).to_numpy()[at], part.column(last - 1).to_numpy()[at]
                 yield pa.RecordBatch.from_arrays(
@@ -242,7 +254,7 @@ def cross_split(rows: DataFrame, record: str, text: Column, flags: DataFrame, nu
     seeds = source.mapInArrow(_seeds(heavy, num, den, hot, False), "key bigint, hot boolean, cid bigint, n int, side int, s0 bigint, s1 bigint")
     if any_hot:
         often = scratch.save(source.mapInArrow(_seeds(heavy, num, den, hot, True), "key bigint").groupBy("key").count().where(F.col("count") >= hot))
-        seeds = in_chunks(seeds, often, "cid", hot) if not often.isEmpty() else seeds
+        seeds = in_chunks(seeds, often, "cid", hot, scratch) if not often.isEmpty() else seeds
     met = seeds.drop("hot").repartition(tasks(spark), "key").sortWithinPartitions("key", "n").mapInArrow(_meet(num, den), "a bigint, b bigint").distinct()
     found = met.unionByName(classes.where(F.col("side") == TRAIN | HELD).select(F.col("cid").alias("a"), F.col("cid").alias("b")))
     x, y = classes.alias("x"), classes.alias("y")

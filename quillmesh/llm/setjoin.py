@@ -28,6 +28,8 @@ from quillmesh.session import Scratch, tasks
 MOST_HEAVY, SELDOM = 1 << 20, 64
 #: Tokens held by so many sets are never a block of their own, whatever the number of sets.
 HOT = 4096
+#: Rows of a group that are compared one by one.
+FEW = 32
 #: Tasks (record against 64 lanes) compared in one go.
 SLICE = 1 << 14
 
@@ -118,19 +120,25 @@ def _postings(heavy, num: int, den: int, planes: int, hot: int, hot_only: bool):
     return run
 
 
-def in_chunks(rows: DataFrame, often: DataFrame, who: str, hot: int) -> DataFrame:
+def in_chunks(rows: DataFrame, often: DataFrame, who: str, hot: int, scratch: Scratch) -> DataFrame:
     """Rows whose marked ``key`` is in ``often`` (key, count), cut into chunks of about ``hot`` rows that meet pairwise, each pair in a block of its own.
 
     The chunk goes by the hash of ``who``. No pair of rows is lost: two chunks
     meet in the cell of their numbers.
     """
-    c = F.col("count")
-    many = (F.lit(1) + F.floor(c / hot)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(5), F.col(who)), many.cast("bigint"))
-    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), many.cast("bigint") - 1), lambda x: F.least(x, own) * many + F.greatest(x, own))
+    c = F.coalesce("count", F.lit(0))
+    many = F.lit(1) + F.floor(c / hot)
+    own = F.pmod(F.xxhash64(F.lit(5), F.col(who)), many)
+    none = F.lit(-1).cast("bigint")
+    cells = F.when(F.col("count").isNull(), F.array(none)).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), many - 1), lambda x: F.least(x, own) * many + F.greatest(x, own)))
+    if often.count() <= MOST_HEAVY:
+        marked = often.withColumn("hot", F.lit(True))
+        met = rows.join(F.broadcast(marked), ["key", "hot"], "left")  # in one pass over the rows
+        return met.withColumn("cell", F.explode(cells)).withColumn("key", F.when(F.col("cell") < 0, F.col("key")).otherwise(F.xxhash64("key", "cell"))).select(rows.columns)
+    rows = scratch.save(rows)
     met = rows.where("hot").join(often, "key", "left")
-    cut = met.where("count is not null").withColumn("cell", F.explode(cells)).withColumn("key", F.xxhash64("key", "cell")).select(rows.columns)
-    return rows.where("not hot").unionByName(met.where("count is null").select(rows.columns)).unionByName(cut)
+    cut = met.withColumn("cell", F.explode(cells)).withColumn("key", F.when(F.col("cell") < 0, F.col("key")).otherwise(F.xxhash64("key", "cell"))).select(rows.columns)
+    return rows.where("not hot").unionByName(cut)
 
 
 def _csa(a, b, c):
@@ -148,6 +156,36 @@ def _beyond(counters: list[np.ndarray], radius: np.ndarray) -> np.ndarray:
     return over
 
 
+def _near(i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose sketches and sizes allow the overlap."""
+    keep = np.maximum(n[i], n[j]) * num <= np.minimum(n[i], n[j]) * den
+    i, j = i[keep], j[keep]
+    keep = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1) * (den + num) <= (den - num) * (n[i] + n[j])
+    return i[keep], j[keep]
+
+
+def near_pairs(group: np.ndarray, n: np.ndarray, sk: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group whose sketches lie within their radius.
+
+    ``group`` is ascending and ``n`` ascending within a group. Returns row
+    numbers i < j. Groups of more than ``FEW`` rows are compared bit-sliced,
+    which would fill no word in smaller ones.
+    """
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, len(group)])
+    few = np.repeat(size <= FEW, size)
+    inside = np.arange(len(group)) - np.repeat(first, size)
+    after = np.where(few, np.repeat(size, size) - 1 - inside, 0)
+    i = np.repeat(np.arange(len(group)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    i, j = _near(i, j, n, sk, num, den)
+    rest = np.flatnonzero(~few)
+    if len(rest):
+        x, y = sliced_pairs(group[rest], n[rest], sk[rest], num, den)
+        i, j = np.r_[i, rest[x]], np.r_[j, rest[y]]
+    return i, j
+
+
 def sliced_pairs(group: np.ndarray, n: np.ndarray, sk: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group whose sketches lie within their radius.
 
@@ -222,10 +260,7 @@ def sliced_pairs(group: np.ndarray, n: np.ndarray, sk: np.ndarray, num: int, den
             out_j.append(row_of[b[t] * 64 + k])
     if not out_i:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(out_i), np.concatenate(out_j)
-    apart = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1)
-    keep = (apart * (den + num) <= (den - num) * (n[i] + n[j])) & (np.maximum(n[i], n[j]) * num <= np.minimum(n[i], n[j]) * den)
-    return i[keep], j[keep]
+    return _near(np.concatenate(out_i), np.concatenate(out_j), n, sk, num, den)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
@@ -249,7 +284,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[
 
 def found_pairs(key: np.ndarray, cid: np.ndarray, n: np.ndarray, planes: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < j of one key whose sketches are near and whose classes differ."""
-    i, j = sliced_pairs(key, n.astype(np.int64), np.stack([x.view(np.uint64) for x in planes], axis=1), num, den)
+    i, j = near_pairs(key, n.astype(np.int64), np.stack([x.view(np.uint64) for x in planes], axis=1), num, den)
     other = cid[i] != cid[j]
     return i[other], j[other]
 
@@ -335,7 +370,7 @@ class SimilarSets:
         postings = source.mapInArrow(_postings(heavy, num, den, planes, hot, False), schema)
         if any_hot:
             often = scratch.save(source.mapInArrow(_postings(heavy, num, den, planes, hot, True), "key bigint").groupBy("key").count().where(F.col("count") >= hot))
-            postings = in_chunks(postings, often, "cid", hot) if not often.isEmpty() else postings
+            postings = in_chunks(postings, often, "cid", hot, scratch) if not often.isEmpty() else postings
         found = postings.drop("hot").repartition(tasks(spark, total, 1_000_000), "key").sortWithinPartitions("key", "n").mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
         found = scratch.save(found)
         scratch.release()

@@ -128,19 +128,20 @@ def test_similar_sets_lose_nothing(spark, monkeypatch, num, den, hot, planes, he
     assert all(cid[a] == cid[b] or (min(cid[a], cid[b]), max(cid[a], cid[b])) in got for a, b in want)
 
 
-def test_hot_keys_are_cut(spark):
+def test_hot_keys_are_cut(spark, monkeypatch):
     rows = spark.createDataFrame([(1, True, k) for k in range(1000)] + [(2, True, k) for k in range(5)] + [(3, False, k) for k in range(300)], "key bigint, hot boolean, cid bigint")
     often = spark.createDataFrame([(1, 1000)], "key bigint, count bigint")
-    cut = setjoin.in_chunks(rows, often, "cid", 100)
-    blocks = {}
-    for r in cut.collect():
-        blocks.setdefault((r.hot, r.key), set()).add(r.cid)
-    assert blocks[True, 2] == set(range(5))
-    assert blocks[False, 3] == set(range(300))
-    hot = [b for (h, k), b in blocks.items() if h and k != 2]
-    assert max(map(len, hot)) < 400
-    met = {(a, b) for x in hot for a in x for b in x if a < b}
-    assert len(met) == 1000 * 999 // 2
+    for most in (1 << 20, 0):  # as a broadcast, or joined
+        monkeypatch.setattr(setjoin, "MOST_HEAVY", most)
+        blocks = {}
+        for r in setjoin.in_chunks(rows, often, "cid", 100, Scratch(spark)).collect():
+            blocks.setdefault((r.hot, r.key), set()).add(r.cid)
+        assert blocks[True, 2] == set(range(5))
+        assert blocks[False, 3] == set(range(300))
+        hot = [b for (h, k), b in blocks.items() if h and k != 2]
+        assert max(map(len, hot)) < 400
+        met = {(a, b) for x in hot for a in x for b in x if a < b}
+        assert len(met) == 1000 * 999 // 2
 
 
 def test_hot_pairs():
@@ -158,10 +159,16 @@ def test_sliced_comparison():
     sk = rng.integers(0, 2**63, (300, 2), dtype=np.uint64)
     sk[150:200] = sk[100:150] = sk[:50]
     sk[100:150, 0] ^= np.uint64(0b1011)
-    i, j = setjoin.sliced_pairs(group, n, sk, 7, 10)
     apart = np.bitwise_count(sk[:, None] ^ sk[None]).sum(axis=2)
     want = {(a, b) for a in range(300) for b in range(a + 1, 300) if group[a] == group[b] and apart[a, b] * 17 <= 3 * (n[a] + n[b]) and max(n[a], n[b]) * 7 <= min(n[a], n[b]) * 10}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    for compare in (setjoin.sliced_pairs, setjoin.near_pairs):
+        i, j = compare(group, n, sk, 7, 10)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    group = np.sort(rng.integers(0, 40, 300))  # few in a group
+    n = np.concatenate([np.sort(n[group == g]) for g in np.unique(group)])
+    i, j = setjoin.near_pairs(group, n, sk, 7, 10)
+    x, y = setjoin.sliced_pairs(group, n, sk, 7, 10)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(x.tolist(), y.tolist(), strict=True))
 
 
 def test_near_copy_groups(spark):
