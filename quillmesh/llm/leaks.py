@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.session import Scratch
+
 WORD = re.compile(r"[^\W_]+")
-#: Symbols in a shard, and the most items whose phrases are searched in one pass.
-SHARD, MOST_ITEMS = 1 << 20, 50_000
+#: Symbols in a shard.
+SHARD = 1 << 20
+#: Words of items whose phrases are searched in one pass, and words of a piece of a long item.
+MOST_WORDS, PIECE = 1 << 20, 4096
 #: Symbols: the end of the sequence, any word that no phrase holds, then the phrases' words.
 END, OTHER, FIRST = 0, 1, 2
 
@@ -123,18 +127,32 @@ class FMIndex:
 class Phrases:
     """All runs of ``length`` words of the items, as symbols, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, str]], length: int):
+    def __init__(self, items: list[tuple[int, list[str]]], length: int):
         self.length = length
         self.symbol: dict[str, int] = {}
         rows: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            s = [self.symbol.setdefault(w, len(self.symbol) + FIRST) for w in text_words(text)]
+        for item, words in items:
+            s = [self.symbol.setdefault(w, len(self.symbol) + FIRST) for w in words]
             for k in range(len(s) - length + 1):
                 rows.setdefault(tuple(s[k : k + length]), set()).add(item)
         self.phrases = np.array(list(rows), np.int64).reshape(-1, length)
         self.items = [sorted(x) for x in rows.values()]
 
 
+def _pieces(length: int, piece: int):
+    """Items (i, text) to pieces (i, words, n) of long ones, with an overlap that keeps every phrase whole; none of items that are too short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = text_words(text)
+                rows += [(item, x, len(x)) for x in (w[k : k + piece + length - 1] for k in range(0, len(w) - length + 1, piece))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string()), pa.int64()))], names=["i", "t", "n"])
+
+    return run
+
+
 def _spans(shard: list[tuple[int, int, np.ndarray]], phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
     """(doc, item, first word, end) of the spans of a shard of (doc, first word, symbols)."""
     pieces, doc, word = [], [], []
@@ -187,15 +205,16 @@ def _search(shared, size: int):
     return run
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, length: int = 12, most: int = MOST_ITEMS, size: int = SHARD) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, length: int = 12, most: int = MOST_WORDS, size: int = SHARD, piece: int = PIECE) -> DataFrame:
     """Documents that hold passages of held-out items.
 
     Args:
         docs, doc, text: the corpus with its id and text columns.
         items, item, item_text: the held-out texts.
         length: words in a row that make a leak.
-        most: items searched in one pass; more are searched in several passes.
-        size: words in a shard.
+        most: words of items searched in one pass, about; more are searched
+            in several passes over the corpus.
+        size, piece: words in a shard, and in a piece of a long item.
 
     Returns:
         ``(doc_id, item_id, spans, words)``: for each document and item with
@@ -206,11 +225,12 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     """
     spark = docs.sparkSession
     own = items.select(items[item].cast("bigint").alias("i"), items[item_text].alias("t")).where("i is not null and t is not null").distinct()
-    passes = max(1, -(-own.count() // most))
+    own = Scratch(spark).save(own.mapInArrow(_pieces(length, piece), "i bigint, t array<string>, n bigint"))
+    passes = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // most))
     corpus = docs.select(docs[doc].cast("bigint").alias("d"), docs[text].alias("t")).where("d is not null and t is not null")
     found = None
     for k in range(passes):
-        part = own.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).collect()  # about `most` rows
+        part = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).select("i", "t").collect()  # about `most` words
         phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part], length))
         spans = corpus.mapInArrow(_search(phrases, size), "doc_id bigint, item_id bigint, first_word bigint, end_word bigint")
         found = spans if found is None else found.unionByName(spans)

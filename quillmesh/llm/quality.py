@@ -27,6 +27,8 @@ CELL = re.compile(r"[|\t;]|</?t[dr]>|\s{3,}")
 TYPES = ("prose", "list", "table", "junk")
 #: Words in a window that is judged for itself.
 SPAN = 32
+#: Most common words; how often each follows each is a table of 34 MB then.
+MOST_COMMON = 2048
 
 STATS = (
     ("words", "bigint"), ("lines", "bigint"), ("chars", "bigint"), ("mean_word", "double"), ("symbols", "double"), ("digits", "double"),
@@ -160,8 +162,8 @@ def text_quality(docs: DataFrame, doc: str, text: str, common_words: DataFrame,
 
     Args:
         docs, doc, text: the corpus with its id and text columns.
-        common_words, word: the common words of all languages; at most 30,000
-            different ones.
+        common_words, word: the common words of all languages; more than
+            ``MOST_COMMON`` different ones are an error.
 
     Returns:
         ``doc_id``, the columns of ``STATS``, ``order`` and ``prose_share``
@@ -172,9 +174,9 @@ def text_quality(docs: DataFrame, doc: str, text: str, common_words: DataFrame,
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    known = common_words.select(F.lower(common_words[word]).alias("w")).where("w is not null").distinct().orderBy("w").limit(30_001).collect()
-    if len(known) > 30_000:
-        raise ValueError("more than 30,000 common words")
+    known = common_words.select(F.lower(common_words[word]).alias("w")).where("w is not null").distinct().orderBy("w").limit(MOST_COMMON + 1).collect()
+    if len(known) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
     size = len(known) + 1
     common = spark.sparkContext.broadcast({r[0]: k + 1 for k, r in enumerate(known)})
     fields = "doc_id bigint, " + ", ".join(f"{s} {t}" for s, t in STATS)

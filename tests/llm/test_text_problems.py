@@ -141,10 +141,9 @@ def test_leaks(spark, size):
             if hit and d is not None and i is not None:
                 want[d, i] = (sum(k - 1 not in hit for k in hit), len(hit))
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(0)), spark.createDataFrame(items, "item_id bigint, item_text string")
-    for most in (50, 3):
-        got = {(r.doc_id, r.item_id): (r.spans, r.words) for r in leaks.leaks(df, "doc_id", "text", it, "item_id", "item_text", size=size, most=most).collect()}
-        assert got.keys() == want.keys()
-        assert all(got[k][1] == want[k][1] for k in want)
+    for most, piece in ((1000, 1000), (30, 7)):
+        got = {(r.doc_id, r.item_id): (r.spans, r.words) for r in leaks.leaks(df, "doc_id", "text", it, "item_id", "item_text", size=size, most=most, piece=piece).collect()}
+        assert got == want
     assert leaks.leaks(df, "doc_id", "text", it.limit(0), "item_id", "item_text").count() == 0
     assert leaks.leaks(df.limit(0), "doc_id", "text", it, "item_id", "item_text").count() == 0
 
