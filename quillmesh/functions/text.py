@@ -10,6 +10,9 @@ WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0          
 
 WORD = r"[\p{L}\p{N}]+"
 
+#: Words that say nothing in a quiz clue, beside the usual stop words of a language.
+QUIZ_WORDS = ("name", "one", "points", "ftp", "10", "man", "another", "", "whose", "named", "include", "used", "ten", "called", "identify")
+
 
 def stripped(c: Column) -> Column:
     """Text without Unicode white space at either end; null stays null."""
@@ -72,9 +75,15 @@ def referer(phrase: Column) -> Column:
     return F.array_join(F.filter(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x: x != "FTP"), " ")
 
 
-def referers(c: Column) -> Column:
-    """Distinct texts of phrases that begin with ``this``: the default noun-phrase extractor."""
-    found = F.regexp_extract_all(c, F.lit(r"\bthis(?:\s\p{Ll}+){1,3}"), F.lit(0))
+def referers(c: Column, prepositions: bool = False) -> Column:
+    """Distinct texts of phrases that begin with ``this``: the default noun-phrase extractor.
+
+    With ``prepositions`` a phrase may go on after ``of``, ``in``, ``on``,
+    ``by``, ``for``, ``from``, ``to`` or ``with``, as the wider grammar has it.
+    """
+    more = r"(?:\s(?:of|in|on|by|for|from|to|with)(?:\s(?!(?:of|in|on|by|for|from|to|with)\b)\p{Ll}+){1,3})*" if prepositions else ""
+    word = r"\s(?!(?:of|in|on|by|for|from|to|with)\b)\p{Ll}+" if prepositions else r"\s\p{Ll}+"
+    found = F.regexp_extract_all(c, F.lit(rf"\bthis(?:{word}){{1,3}}{more}"), F.lit(0))
     return F.array_distinct(F.transform(found, referer))
 
 

@@ -25,11 +25,13 @@ class Contingency:
 
     ``experimental`` is ``(rec_id, cluster)`` and ``gold`` ``(rec_id, label)``,
     both with one row per record; records in only one of them are left out.
+    The counts are written once, since every figure reads them.
     """
 
-    def __init__(self, experimental: DataFrame, gold: DataFrame):
+    def __init__(self, experimental: DataFrame, gold: DataFrame, scratch: Scratch | None = None):
+        scratch = scratch or Scratch(experimental.sparkSession)
         e, g = experimental.select("rec_id", F.col("cluster").alias("e")), gold.select("rec_id", F.col("label").alias("g"))
-        self.cells = e.join(g, "rec_id").groupBy("e", "g").agg(F.count(F.lit(1)).alias("n"))
+        self.cells = scratch.save(e.join(g, "rec_id").groupBy("e", "g").agg(F.count(F.lit(1)).alias("n")))
         self.rows = self.cells.groupBy("e").agg(F.sum("n").alias("ne"))
         self.cols = self.cells.groupBy("g").agg(F.sum("n").alias("ng"))
 
@@ -60,16 +62,23 @@ class Contingency:
 
 
 def running_total(rows: DataFrame, order: list[Column], value: str, out: str, scratch: Scratch | None = None) -> DataFrame:
-    """Running sum over all rows in a total order, without gathering them in one task.
+    """Running sum of one column, see :func:`running_totals`."""
+    return running_totals(rows, order, {out: value}, scratch)
 
-    Rows are range-partitioned; sums of the partitions give each its start.
+
+def running_totals(rows: DataFrame, order: list[Column], sums: dict[str, str], scratch: Scratch | None = None) -> DataFrame:
+    """Running sums ``{out: value}`` over all rows in a total order, without gathering them in one task.
+
+    Rows are range-partitioned once; sums of the partitions give each its start.
     """
     scratch = scratch or Scratch(rows.sparkSession)
     ranged = scratch.save(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    start = ranged.groupBy("part").agg(F.sum(value).alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    starts = {out: f"start_{k}" for k, out in enumerate(sums)}
+    start = ranged.groupBy("part").agg(*(F.sum(v).alias(starts[out]) for out, v in sums.items())).select("part", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in starts.values()))
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.withColumn(out, F.sum(value).over(inside)).join(start, "part").withColumn(out, F.col(out) + F.col("start")).drop("part", "start")
+    own = ranged.withColumns({out: F.sum(v).over(inside) for out, v in sums.items()}).join(F.broadcast(start), "part")  # one row per partition
+    return own.withColumns({out: F.col(out) + F.col(s) for out, s in starts.items()}).drop("part", *starts.values())
 
 
 def precision_recall(pairs: DataFrame, gold: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def precision_recall(pairs: DataFrame, gold: DataFrame) -> DataFrame:
     of = pairs.select("a", "b", "s").join(g.select(F.col("rec_id").alias("a"), F.col("label").alias("la")), "a").join(g.select(F.col("rec_id").alias("b"), F.col("label").alias("lb")), "b")
     marked = of.select("a", "b", "s", (F.col("la") == F.col("lb")).cast("bigint").alias("hit"), F.lit(1).cast("bigint").alias("one"))
     order = [F.desc("s"), F.col("a"), F.col("b")]
-    ran = running_total(running_total(marked, order, "hit", "hits"), order, "one", "seen")
+    ran = running_totals(marked, order, {"hits": "hit", "seen": "one"})
     all_gold = g.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(_half(F.col("n"))), F.lit(0.0)).alias("all"))
     return ran.join(F.broadcast(all_gold)).select("a", "b", F.col("s").alias("threshold"), (F.col("hits") / F.col("seen")).alias("precision"), _ratio(F.col("hits"), F.col("all")).alias("recall")).withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
@@ -94,6 +103,6 @@ def merge_trace(merges: DataFrame, gold: DataFrame) -> DataFrame:
     scores are in the order of their rounds, then of their ids.
     """
     order = [F.desc("score"), F.col("round"), F.col("a"), F.col("b")]
-    ran = running_total(running_total(merges, order, "hits", "hit"), order, "pairs", "seen")
+    ran = running_totals(merges, order, {"hit": "hits", "seen": "pairs"})
     all_gold = gold.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(_half(F.col("n"))), F.lit(0.0)).alias("all"))
     return ran.join(F.broadcast(all_gold)).select("a", "b", F.col("score").alias("threshold"), (F.col("hit") / F.col("seen")).alias("precision"), _ratio(F.col("hit"), F.col("all")).alias("recall")).withColumn("f1", _f1(F.col("precision"), F.col("recall")))

@@ -11,6 +11,7 @@ from quillmesh.config import Options
 from quillmesh.functions import text as X
 from quillmesh.operators import blocking, cluster, evaluate, index, similarity
 from quillmesh.operators.components import connected
+from quillmesh.session import Scratch
 from quillmesh.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +149,12 @@ def vocab_features(spark, d):
     return _tokens(spark, d).join(known, "term").groupBy(F.col("rec_id").alias("question_id")).agg(F.count(F.lit(1)).alias("known"))
 
 
+@query(f"""with k as (select lower(feature) as term, min(word_id) as word_id from vocab where feature is not null group by 1), r as ({_TOKENS})
+select rec_id as question_id, pos, word_id from r join k using(term) union all select distinct rec_id, 0, (select max(word_id)+1 from vocab) from r""")
+def mapped_features(spark, d):
+    return S.mapped_features(t(spark, d, "features"), t(spark, d, "vocab"))
+
+
 @query(f"select rec_id as question_id, cast(coalesce(max(case when term='ftp' then pos end),-1) as int) as ftp_pos from ({_TOKENS}) group by 1")
 def marker_position(spark, d):
     return S.marker_position(t(spark, d, "features"))
@@ -155,7 +162,22 @@ def marker_position(spark, d):
 
 @query("""select distinct question_id, answer_text, answer_count, '"' || replace(coalesce(body,''),'"','') || '"' as body from questions join question_mapping using(question_id) join cannonical_answer using(answer_id) where answer_count>=5""")
 def export_questions(spark, d):
-    return S.export(t(spark, d, "questions"), t(spark, d, "question_mapping"), t(spark, d, "cannonical_answer")).distinct()
+    return S.export(t(spark, d, "questions"), t(spark, d, "question_mapping"), t(spark, d, "cannonical_answer"))
+
+
+@query("""select row_number() over (order by answer_count desc, answer_text, question_id, answer_id) as place, question_id, answer_text, answer_count from (
+ select distinct question_id, m.answer_id, answer_text, answer_count from questions join question_mapping m using(question_id) join cannonical_answer c on c.answer_id=m.answer_id where answer_count>=5)""")
+def export_order(spark, d):
+    """The place of each exported question."""
+    rows = _frequent(spark, d).withColumn("one", F.lit(1).cast("bigint"))
+    order = [F.desc("answer_count"), F.col("answer_text"), F.col("question_id"), F.col("answer_id")]
+    return evaluate.running_total(rows, order, "one", "place").select("place", "question_id", "answer_text", "answer_count")
+
+
+@query("""select question_id, coalesce(string_agg(text, '|' order by text) filter (reference=1), '') as reference, coalesce(string_agg(text, '|' order by text) filter (username<>'default'), '') as human
+from (select distinct * from answers) where question_id is not null group by 1""")
+def answer_lists(spark, d):
+    return S.answer_lists(t(spark, d, "answers")).select("question_id", F.array_join("reference", "|").alias("reference"), F.array_join("human", "|").alias("human"))
 
 
 _LABELS = f"select question_id as rec_id, answer_id as label from ({_ANSWER})"
@@ -221,7 +243,10 @@ def entity_expand(spark, d):
     return similarity.expanded(_entities(spark, d))
 
 
-@query()
+_THIS = r"unnest(regexp_extract_all(body,'\bthis(?:\s\p{Ll}+){1,3}'))"
+
+
+@query(f"select distinct rec_id, array_to_string(list_filter(regexp_split_to_array({_THIS},'\\s+')[2:], lambda x: x <> 'FTP'),' ') as phrase from ({_BODY})")
 def referer_phrases(spark, d):
     """Distinct noun phrases after ``this``, by the default extractor."""
     return _bodies(spark, d).select("rec_id", F.explode(X.referers(F.col("body"))).alias("phrase")).distinct()
@@ -267,6 +292,33 @@ def index_report(spark, d):
     return _index(spark, d).report()[1]
 
 
+@query(f"""with r as ({_TOKENS}), x as (select distinct term from r) select term, row_number() over (order by term) - 1 as term_id from x""")
+def term_ids(spark, d):
+    """Terms as numbers, in the order of their bytes."""
+    return index.numbered(_tokens(spark, d))
+
+
+@query(f"""{_TOK_INDEX}, a as (select rec_id, term from (select distinct rec_id from c), (values ('ftp'),('i'),('no such term')) v(term))
+select a.rec_id, a.term, round(coalesce(w.tf,0),6) as tf, round(coalesce(f.idf,0),6) as idf from a left join w using(rec_id, term) left join f on f.term=a.term""")
+def term_lookup(spark, d):
+    """Frequencies of three terms in every question, 0 where there are none."""
+    built = _index(spark, d)
+    asked = built.tf.select("rec_id").distinct().withColumn("term", F.explode(F.array(*(F.lit(x) for x in ("ftp", "i", "no such term")))))
+    return _round(built.lookup(asked), "tf", "idf")
+
+
+@query(f"with r as ({_TOKENS}) select rec_id, lower(term) as term, count(*) as cnt from r where length(term) > 3 group by all")
+def filtered_terms(spark, d):
+    """Term counts under a filter: more than three characters."""
+    return index.Index(_tokens(spark, d), keep=F.length("term") > 3).tf.select("rec_id", "term", "cnt")
+
+
+@query()
+def telling_terms(spark, d):
+    """Document frequencies without stop words and short terms; the list of stop words is Spark's."""
+    return _round(index.Index(_tokens(spark, d), keep=index.telling()).df.select("term", "df", "idf"), "idf")
+
+
 @query(f"{_TOK_INDEX} {_SCORES}")
 def doc_scores(spark, d):
     return _round(_index(spark, d).scores(), "score")
@@ -341,20 +393,43 @@ def block_by_category(spark, d):
 
 def _canopies(spark, d):
     ids = _bodies(spark, d).select("rec_id").distinct()
-    return blocking.canopies(ids, _entity_index(spark, d).scores(), 0.0, 0.01)
+    return blocking.canopies(ids, _entity_index(spark, d).near(), 0.0, 0.01)
 
 
-@query()
+# centers one by one in ascending order: a record is one unless an earlier center holds it tightly
+_CANOPIES = f"""{_ENT_INDEX.replace("with ", "with recursive ", 1)}, sc as materialized (select x.rec_id as x, y.rec_id as y, sum(x.tf*x.tf*x.idf) as score from w x join w y using(term) where x.rec_id>y.rec_id and x.idf<>0 group by 1,2),
+ ids as materialized (select rec_id, row_number() over (order by rec_id) as k from (select distinct rec_id from ({_BODY}))), tt as materialized (select p.k as p, list(c.k) as cs from sc join ids p on p.rec_id=sc.x join ids c on c.rec_id=sc.y where score>0.01 group by 1),
+ go as (select 1::bigint as k, [1::bigint] as cen union all select k+1, case when list_has_any(coalesce((select cs from tt where p=k+1),[]), cen) then cen else list_append(cen, k+1) end from go where k < (select count(*) from ids)),
+ cn as materialized (select rec_id as c from ids where k in (select unnest(cen) from go where k=(select count(*) from ids))), hd as (select sc.x as p, sc.y as c, score from sc join cn on cn.c=sc.y where score>0),
+ tk as (select p, min(c) as taken from hd where score>0.01 group by 1), cp as (select c as center, p as rec_id from hd left join tk using(p) where (taken is null or c<=taken) and p not in (select c from cn) union select c, c from cn
+ union select hd.c, hd.p from hd join cn on cn.c=hd.p left join tk on tk.p=hd.p where taken is null and hd.c<hd.p)"""
+
+
+@query(f"{_CANOPIES} select * from cp")
 def canopies(spark, d):
     return _canopies(spark, d)
 
 
+@query(f"{_CANOPIES} select count(*) as canopies, round(avg(n),6) as mean_size from (select count(*) as n from cp group by center)")
+def mean_canopy_size(spark, d):
+    return _round(blocking.canopy_size(_canopies(spark, d)), "mean_size")
+
+
 # ---------------------------------------------------------------- clustering
 
 
 def _linked(spark, d):
-    """Pairs of questions by the dot product of their entity weights."""
-    return _entity_index(spark, d).dot().select("a", "b", F.col("tfidf").alias("s"))
+    """Pairs of questions whose entity weights have a dot product of ``LINK`` or more."""
+    return _entity_index(spark, d).linked(LINK)
+
+
+def _inside(spark, d):
+    """All pairs of questions that such links bind to one component: no cluster leaves it."""
+    built, scratch = _entity_index(spark, d), Scratch(spark)
+    part = scratch.save(connected(scratch.save(built.linked(LINK)), scratch=scratch))
+    tfidf = index.dot(built.weights.where("w <> 0"), "w", part).select("a", "b", "s", F.col("s").alias("tfidf"))
+    named = index.dot(_entities(spark, d), "cnt", part).select("a", "b", F.col("s").cast("double").alias("named"))
+    return scratch.save(tfidf.join(named, ["a", "b"], "left").na.fill(0.0, ["named"]))
 
 
 def _ids(spark, d):
@@ -372,12 +447,12 @@ def single_link_clusters(spark, d):
 
 @query()
 def complete_link_clusters(spark, d):
-    return cluster.agglomerate(_ids(spark, d), _linked(spark, d), LINK, "min").clusters
+    return cluster.agglomerate(_ids(spark, d), _inside(spark, d), LINK, "min").clusters
 
 
 @query()
 def mean_link_clusters(spark, d):
-    return cluster.agglomerate(_ids(spark, d), _linked(spark, d), LINK, "mean").clusters
+    return cluster.agglomerate(_ids(spark, d), _inside(spark, d), LINK, "mean").clusters
 
 
 @query()
@@ -450,22 +525,24 @@ def accuracy_report(spark, d):
  v as (select a, b, s, hits/seen as p, hits/(select gp from gp) as r from o)
 select a, b, s as threshold, round(p,6) as precision, round(r,6) as recall, round(case when p+r>0 then 2*p*r/(p+r) else 0.0 end,6) as f1 from v""")
 def pr_curve(spark, d):
-    pairs = _linked(spark, d).withColumn("s", F.round("s", 6))
+    pairs = _entity_index(spark, d).dot().select("a", "b", F.round("tfidf", 6).alias("s"))
     return _round(evaluate.precision_recall(pairs, _labels(spark, d)), "precision", "recall", "f1")
 
 
 @query()
 def merge_trace(spark, d):
     gold = _labels(spark, d)
-    found = cluster.agglomerate(_ids(spark, d), _linked(spark, d), LINK, "mean", gold=gold)
+    found = cluster.agglomerate(_ids(spark, d), _inside(spark, d), LINK, "mean", gold=gold)
     return evaluate.merge_trace(found.merges, gold)
 
 
 @query()
 def informative_features(spark, d):
-    """Total of the scores at which clusters merged, by round."""
-    found = cluster.agglomerate(_ids(spark, d), _linked(spark, d), LINK, "mean")
-    return found.merges.groupBy("round").agg(F.round(F.sum("score"), 6).alias("total"), F.count(F.lit(1)).alias("merges"))
+    """What each part of the similarity added to the scores at which clusters merged, mean linkage over their sum."""
+    o = Options()
+    constant = {"category": o.category_weight, "referers": 0.5 * o.referers_weight}  # the same for every pair
+    found = cluster.agglomerate(_ids(spark, d), _inside(spark, d).withColumns({k: F.lit(float(v)) for k, v in constant.items()}), LINK, "mean", parts=similarity.COMPONENTS)
+    return _round(found.informative(similarity.COMPONENTS), "value")
 
 
 # ---------------------------------------------------------------- runs
@@ -478,6 +555,15 @@ def parameter_grid(spark, d):
     return grid(spark)
 
 
+@query()
+def sweep(spark, d):
+    """Figures of canopy runs for all 15 settings of the standard sweep, maximum linkage."""
+    from quillmesh.plans.runs import sweep as run
+
+    rows = run(spark, d, algorithm="MAXCLUSTER", feature_distance_threshold=3.0)
+    return _round(rows, "f1", "precision", "recall", "cluster_f1", "cluster_precision", "cluster_recall", "vi")
+
+
 @query("select n, round(1.0/n,6) as inverse, round(1.0/sqrt(n),6) as inverse_sqrt, round(1.0/ln(n),6) as inverse_log from (select count(distinct question_id)::double as n from questions)")
 def threshold_constants(spark, d):
     n = t(spark, d, "questions").agg(F.count_distinct("question_id").cast("double").alias("n"))

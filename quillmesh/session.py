@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import logging
 import os
 import tempfile
 import uuid
@@ -27,6 +28,14 @@ def session(app: str = "quillmesh", master: str | None = None, **conf: str) -> S
     return b.config(map=DEFAULTS | conf).getOrCreate()
 
 
+def log_to(level: int = 2, path: str | None = None, keep: bool = False) -> None:
+    """Log this package at level 0 (errors) to 3 (everything), to the console or to a file, which is begun anew unless ``keep``."""
+    own = logging.getLogger("quillmesh")
+    own.handlers = [logging.FileHandler(path, "a" if keep else "w") if path else logging.StreamHandler()]
+    own.handlers[0].setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
+    own.setLevel((logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG)[max(0, min(3, level))])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

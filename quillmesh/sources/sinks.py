@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +26,12 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Any SQL over the parquet tables of a local folder."""
-    for name in os.listdir(folder):
+    """Any SQL over the parquet tables of a folder, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+        name = status.getPath().getName()
         if name.endswith(".parquet"):
-            spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(name.removesuffix(".parquet"))
+            spark.read.parquet(status.getPath().toString()).createOrReplaceTempView(name.removesuffix(".parquet"))
     return spark.sql(text)
 
 

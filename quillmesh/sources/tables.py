@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import category, clean_feature, ftp_rewrite
@@ -71,6 +73,32 @@ def responses(answers: DataFrame) -> DataFrame:
     )
 
 
+def answer_lists(answers: DataFrame) -> DataFrame:
+    """``(question_id, reference, human)``: the texts of a question's reference rows and of its human rows, sorted; see :func:`responses`.
+
+    The lists are the feature here; a question's rows gather in one task.
+    Repeated rows count once, null texts not at all.
+    """
+    human = F.coalesce(F.col("username") != "default", F.lit(False))
+    return (
+        answers.where("question_id is not null")
+        .distinct()
+        .groupBy("question_id")
+        .agg(F.sort_array(F.collect_list(F.when(F.col("reference") == 1, F.col("text")))).alias("reference"), F.sort_array(F.collect_list(F.when(human, F.col("text")))).alias("human"))
+    )
+
+
+def mapped_features(features: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(question_id, pos, word_id)``: a question's tokens as word numbers, the start symbol at 0 before them; unknown tokens are left out.
+
+    A feature that ``vocab`` lists more than once has its smallest number.
+    """
+    known = vocabulary(vocab).where("feature is not null").groupBy(F.lower("feature").alias("term")).agg(F.min("word_id").alias("word_id"))
+    own = tokens(features)
+    start = own.select("rec_id").distinct().select("rec_id", F.lit(0).alias("pos"), F.lit("").alias("term"))
+    return own.unionByName(start).join(known, "term").select(F.col("rec_id").alias("question_id"), "pos", "word_id")
+
+
 def frequent(questions: DataFrame, mapping: DataFrame, canonical: DataFrame, least: int = 5) -> DataFrame:
     """Questions whose answer is given at least ``least`` times: ``(question_id, answer_id, answer_text, answer_count)``."""
     return (
@@ -88,9 +116,10 @@ def limited(rows: DataFrame, limit: int) -> DataFrame:
     return ranked if limit <= 0 else ranked.orderBy(F.desc("answer_count"), "question_id").limit(limit)
 
 
-def question_model(questions: DataFrame) -> DataFrame:
-    """Distinct questions with rewritten body and reduced category."""
-    return questions.where("question_id is not null").select("question_id", ftp_rewrite(F.col("body")).alias("text"), category(F.trim("category")).alias("category"), "author", "round", "tournament").distinct()
+def question_model(questions: DataFrame, reducer: Callable[[Column], Column] | None = category) -> DataFrame:
+    """Distinct questions with rewritten body and reduced category; ``reducer`` may be another function of the trimmed category, or none."""
+    kind = F.trim("category")
+    return questions.where("question_id is not null").select("question_id", ftp_rewrite(F.col("body")).alias("text"), (reducer(kind) if reducer else kind).alias("category"), "author", "round", "tournament").distinct()
 
 
 def ordered_features(features: DataFrame) -> DataFrame:
@@ -116,10 +145,15 @@ def split(labels: DataFrame, record: str, label: str, dev: int = 0, test: int =
 
 
 def disambiguations(spark: SparkSession, path: str) -> DataFrame:
-    """``(rec_id, label)`` lines without a header; a broken line is left out and the rest kept."""
+    """``(rec_id, label)`` lines without a header; a broken line is left out and the rest kept, see :func:`broken_lines`."""
     return spark.read.schema("rec_id bigint, label string").option("mode", "DROPMALFORMED").csv(path).where("rec_id is not null and label is not null")
 
 
+def broken_lines(spark: SparkSession, path: str) -> int:
+    """How many lines of a disambiguations file are no number and label."""
+    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*-?\d+\s*,[^,]+$") & (F.trim("value") != "")).count()
+
+
 def overridden(labels: DataFrame, overrides: DataFrame) -> DataFrame:
     """``(rec_id, label)`` as text, with an override where there is one."""
     o = overrides.groupBy("rec_id").agg(F.max("label").alias("own"))
@@ -127,9 +161,9 @@ def overridden(labels: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def export(questions: DataFrame, mapping: DataFrame, canonical: DataFrame, least: int = 5) -> DataFrame:
-    """Questions of frequent answers with a quoted body, as lines for a CSV file."""
+    """Questions of frequent answers with a quoted body, as lines for a CSV file, the most frequent answers first, then by answer and question."""
     quoted = F.concat(F.lit('"'), F.replace(F.coalesce("body", F.lit("")), F.lit('"'), F.lit("")), F.lit('"'))
-    return frequent(questions, mapping, canonical, least).join(questions.select("question_id", "body").distinct(), "question_id").select("question_id", "answer_text", "answer_count", quoted.alias("body"))
+    return frequent(questions, mapping, canonical, least).join(questions.select("question_id", "body").distinct(), "question_id").select("question_id", "answer_text", "answer_count", quoted.alias("body")).distinct().orderBy(F.desc("answer_count"), "answer_text", "question_id", "body")
 
 
 def write_ids(rows: DataFrame, path: str) -> None:
