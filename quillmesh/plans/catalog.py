@@ -393,7 +393,8 @@ def block_by_category(spark, d):
 
 def _canopies(spark, d):
     ids = _bodies(spark, d).select("rec_id").distinct()
-    return blocking.canopies(ids, _entity_index(spark, d).near(), 0.0, 0.01)
+    # so low a threshold leaves most pairs: one table of all scores is cheaper than scores on demand
+    return blocking.canopies(ids, _entity_index(spark, d).scores(), 0.0, 0.01)
 
 
 # centers one by one in ascending order: a record is one unless an earlier center holds it tightly

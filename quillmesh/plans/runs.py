@@ -89,7 +89,7 @@ class Run:
         if o.blocking_method == "CANOPIES":
             n = self.records.count()
             t2 = blocking.tight_threshold(o.tight_threshold, n)
-            cheap = index.Index(similarity.expanded(self.entities), start=0, semantics=o.semantics).near()
+            cheap = index.Index(similarity.expanded(self.entities), start=0, semantics=o.semantics).scores()  # the tight threshold leaves most of them
             canopy = self.scratch.save(blocking.canopies(self.records, cheap, 0.0, t2))
             log.info("%s", blocking.canopy_size(canopy).first())
             return blocking.canopy_clusters(canopy, self.pairs, self.threshold, o.linkage)

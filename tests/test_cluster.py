@@ -58,6 +58,26 @@ def test_rounds_and_local_agree_with_one_by_one(spark, linkage):
         assert groups(cluster.single_link(ids(spark, 14), pairs(spark, sim), 0.4)) == want
 
 
+@pytest.mark.parametrize("linkage", ["min", "mean"])
+def test_ties_merge_alike_whatever_the_way(spark, linkage):
+    rnd = random.Random(9)
+    sim = {(a, b): float(rnd.randint(1, 3)) for a in range(12) for b in range(a + 1, 12) if rnd.random() < 0.7}
+    want = sorted(map(sorted, cluster.agglomerate_local([frozenset([k]) for k in range(12)], sim, 1.5, linkage)))
+    assert [groups(cluster.agglomerate(ids(spark, 12), pairs(spark, sim), 1.5, linkage, small=small).clusters) for small in (512, 1)] == [want, want]
+
+
+def test_parts_of_the_scores(spark):
+    rows = [(0, 1, 4.0, 1.0), (0, 2, 1.0, 2.0), (1, 2, 2.0, 0.5)]  # the first merge is 0 and 1, the second joins 2
+    df = spark.createDataFrame([(a, b, t + n, t, n) for a, b, t, n in rows], "a bigint, b bigint, s double, tfidf double, named double")
+    want = {"mean": {"tfidf": 4.0 + 1.5, "named": 1.0 + 1.25}, "max": {"tfidf": 5.0, "named": 3.0}, "min": {"tfidf": 6.0, "named": 1.5}}
+    for linkage, parts in want.items():
+        for small in (512, 1) if linkage != "min" else (512,):
+            found = cluster.agglomerate(ids(spark, 3), df, 1.0, linkage, parts=("tfidf", "named"), small=small)
+            assert [(r.feature, r.value) for r in found.informative(("tfidf", "named")).collect()] == sorted(parts.items(), key=lambda x: -x[1])
+    none = cluster.agglomerate(ids(spark, 3), df, None, parts=("tfidf", "named"))
+    assert {r.feature: r.value for r in none.informative(("tfidf", "named")).collect()} == {"tfidf": 0.0, "named": 0.0}
+
+
 def test_trace(spark):
     gold = spark.createDataFrame([(0, "x"), (1, "x"), (2, "x"), (3, "y")], "rec_id bigint, label string")
     for small in (512, 1):

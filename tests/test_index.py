@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 
@@ -79,3 +80,37 @@ def test_options():
     with pytest.raises(ValueError, match="MEANCLUSTER"):
         Options(algorithm="other")
     assert Options().relevant() == [("Threshold", 2.0), ("Limit", -1)]
+
+
+@pytest.mark.parametrize("least", [0.05, 0.3, 1.0])
+def test_pairs_at_least(spark, least):
+    rnd = random.Random(4)
+    own = {k: {f"t{int(12 * rnd.random() ** 2)}": rnd.uniform(0.05, 0.8) for _ in range(rnd.randint(0, 6))} for k in range(40)}
+    other = {k: {t: rnd.uniform(0.1, 1.0) for t in terms} for k, terms in own.items()}
+    x, y = (spark.createDataFrame([(k, t, w) for k, terms in side.items() for t, w in terms.items()], "rec_id bigint, term string, w double") for side in (own, other))
+    got = {(r.x, r.y): r.s for r in index.at_least(x, y, least).collect()}
+    every = {(a, b): sum(w * other[b][t] for t, w in own[a].items() if t in other[b]) for a in own for b in own if a != b}
+    assert got.keys() == {k for k, s in every.items() if s >= least}
+    assert all(math.isclose(s, every[k]) for k, s in got.items())
+    some = spark.createDataFrame([(k,) for k in range(5)], "rec_id bigint")
+    to = {(r.x, r.y): r.score for r in index.Near(x, y).to(some).collect()}
+    assert to.keys() == {k for k, s in every.items() if s and k[1] < 5}
+    assert index.at_least(x.limit(0), y, least).count() == 0
+    with pytest.raises(ValueError):
+        index.at_least(x, y, 0.0)
+
+
+def test_linked_pairs_are_those_of_the_dot_product(built):
+    every = {(r.a, r.b): r.tfidf for r in built.dot().collect()}
+    got = {(r.a, r.b): r.s for r in built.linked(0.1).collect()}
+    assert got.keys() == {k for k, s in every.items() if s >= 0.1}
+
+
+def test_lookups_numbers_and_filters(spark, built):
+    asked = spark.createDataFrame([(1, "JOLLY"), (0, "jolly"), (1, "brownstone"), (99, "green")], "rec_id bigint, term string")
+    got = {(r.rec_id, r.term): (r.tf, r.idf > 0) for r in built.lookup(asked).collect()}
+    assert got == {(1, "jolly"): (0.5, True), (0, "jolly"): (0.0, True), (1, "brownstone"): (0.0, False), (99, "green"): (0.0, True)}
+    terms = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("",)], "term string")
+    assert sorted(map(tuple, index.numbered(terms).collect())) == [("", 0), ("a", 1), ("b", 2)]
+    rows = spark.createDataFrame([(1, w) for w in ("The", "whose", "ox", "levee")], "rec_id bigint, term string")
+    assert [r.term for r in index.Index(rows, keep=index.telling()).df.collect()] == ["levee"]

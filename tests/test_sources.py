@@ -3,8 +3,10 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.config import Options
+from quillmesh.functions import text as X
 from quillmesh.plans import runs
 from quillmesh.sources import tables as S
 
@@ -49,6 +51,7 @@ def test_features(spark):
 def test_disambiguations_keep_good_lines(spark, tmp_path):
     (tmp_path / "d.csv").write_text("5,ethics (work)\nbroken,entropy\n6,pragmatism\n")
     assert {tuple(r) for r in S.disambiguations(spark, str(tmp_path / "d.csv")).collect()} == {(5, "ethics (work)"), (6, "pragmatism")}
+    assert S.broken_lines(spark, str(tmp_path / "d.csv")) == 1
 
 
 def test_ids_are_written_plain(spark, tmp_path):
@@ -76,6 +79,39 @@ def test_entry_and_catalog(spark):
     assert runs.grid(spark).count() == 15
 
 
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
+def test_runs_from_the_command_line(spark, tmp_path):
+    from quillmesh.__main__ import main, parser
+
+    assert main(["--column-names"]).endswith("Threshold,Limit")
+    with pytest.raises(ValueError, match="CANOPIES"):
+        main([D, "--blocking-method", "none such"])
+    some = [D, "--limit", "12", "--log-file", str(tmp_path / "log")]
+    text = main([*some, "--blocking-method", "lego"])  # mean linkage is the default
+    assert "cluster f1" in text
+    out = main([*some, "--output-format", "merge-csv", "--output", str(tmp_path / "trace")])
+    merges = spark.read.csv(out, header=True, inferSchema=True)
+    assert merges.columns == ["threshold", "precision", "recall", "f1"]
+    assert 0 < merges.count() < 12
+    assert merges.where("threshold <= 0.5").count() == 0
+    curve = spark.read.csv(main([*some, "--write-thresholds", "--output", str(tmp_path / "curve")]), header=True)
+    assert merges.count() <= curve.count() <= 66
+    assert "pairs that share something" in (tmp_path / "log").read_text()
+    assert set(vars(parser().parse_args([]))) >= set(Options.names())
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
+def test_a_taxonomy_raises_the_scores(spark):
+    o = Options(limit=12)
+    phrases = [r[0] for r in spark.read.parquet(f"{D}/questions.parquet").select(F.explode(X.referers(F.col("body")))).distinct().collect()]
+    lemmas = spark.createDataFrame([(p, 1) for p in phrases], "lemma string, synset bigint")
+    ancestors = spark.createDataFrame([(1, 1, 2.0)], "synset bigint, ancestor bigint, ic double")
+    plain, wide = runs.Run(spark, D, o), runs.Run(spark, D, o, taxonomy=(lemmas, ancestors))
+    assert plain.pairs.where("referers <> 0.5").count() == 0
+    assert wide.pairs.where("referers > 0.99").count() > 0
+    assert wide.pairs.count() >= plain.pairs.count()
+
+
 def test_sinks(spark, tmp_path):
     from quillmesh.sources import sinks
 
