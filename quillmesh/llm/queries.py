@@ -97,6 +97,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).select(F.least("train_id", "held_id").alias("question_id_a"), F.greatest("train_id", "held_id").alias("question_id_b")).distinct()
 
 
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs and held-out questions by split and tournament of the held-out question."""
+    return p5_report(spark, d).drop("mean_covered")
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping pairs, held-out questions and their mean coverage by split and tournament of the held-out question."""
     splits = _splits(spark, d).select(F.col("id").alias("held_id"), F.explode(F.array_compact(F.array(F.when(F.col("dev"), "dev"), F.when(F.col("test"), "test")))).alias("split"))
@@ -145,5 +150,5 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_unmatched, p2_found, p2_group_sizes, p3_found, p3_clusters, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_stats)
+    own = (p1_found, p1_unmatched, p2_found, p2_group_sizes, p3_found, p3_clusters, p4_found, p4_terms, p5_found, p5_counts, p5_report, p6_found, p6_scores, p7_found, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_stats)
     return {f.__name__: f for f in own}

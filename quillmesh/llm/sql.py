@@ -25,7 +25,7 @@ _FEATURES = f"""st as (select distinct q, f from ({_ROWS}) where f not in (selec
 
 def _grams(table: str, key: str, text: str) -> str:
     words = rf"list_transform(regexp_extract_all({text}, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x))"
-    return f"select {key}, g from (select {key}, string_agg(w, ' ') over win as g, count(*) over win as k from (select {key}, unnest({words}) as w, generate_subscripts({words}, 1) as i from {table} where {text} is not null) window win as (partition by {key} order by i rows between current row and 11 following)) where k = 12"
+    return f"select {key}, i, g from (select {key}, i, string_agg(w, ' ') over win as g, count(*) over win as k from (select {key}, unnest({words}) as w, generate_subscripts({words}, 1) as i from {table} where {text} is not null) window win as (partition by {key} order by i rows between current row and 11 following)) where k = 12"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -36,10 +36,17 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"with {_TERMS} select f as feature, case when n_questions < 3 then 'rare' else 'common' end as mark from tf, nn where n_questions < 3 or n_questions > 0.2 * big_n",
         "p4_terms": f"with {_TERMS} select f as feature, n_rows, n_questions, case when n_questions < 3 then 'rare' when n_questions > 0.2 * big_n then 'common' end as mark from tf, nn",
         "p5_found": f"with {_WORDS}, sp as (select question_id as q, bool_or(coalesce(train,false)) as t, bool_or(coalesce(dev,false) or coalesce(test,false)) as h from question_split group by 1) select a as question_id_a, b as question_id_b from near join sp x on x.q = a join sp y on y.q = b where x.t and y.h or x.h and y.t",
+        "p5_counts": f"""with {_WORDS}, sp as (select question_id as q, bool_or(coalesce(train,false)) as t, bool_or(coalesce(dev,false)) as d, bool_or(coalesce(test,false)) as e from question_split group by 1),
+ pr as (select a as tr, b as he from near union all select b, a from near), ov as (select tr, he, y.d, y.e from pr join sp x on x.q = tr and x.t join (select q, d, e from sp where d or e) y on y.q = he),
+ fl as (select tr, he, 'dev' as split from ov where d union all select tr, he, 'test' from ov where e), tn as (select question_id as he, min(tournament) as tournament from questions group by 1)
+select split, tournament, count(*) as pairs, count(distinct he) as held_questions from fl left join tn using(he) group by all""",
         "p6_found": f"with {_TERMS}, sc as (select q, f, n::double / total * ln(big_n::double / n_questions) as s from qf join tf using(f) join tq using(q), nn where n_questions > 1), rk as (select q, f, s, row_number() over (partition by q order by s desc, f) as k, lead(s) over (partition by q order by s desc, f) as s2 from sc) select q as question_id, f as feature from rk where k = 1 and s2 is not null and s > 0 and s >= 1.45 * s2",
         "p6_scores": f"""with {_TERMS}, al as (select q, f, n, total, n_questions, big_n, n_rows, rows_all, 500.0::double * n_rows / rows_all as al from qf join tf using(f) join tq using(q), nn),
  z as (select *, n + al as own, n_rows - n + al as rest, total + 500.0::double - (n + al) as own_not, rows_all - total + 500.0::double - (n_rows - n + al) as rest_not from al)
 select q as question_id, f as feature, n, round(case when own_not > 0 and rest_not > 0 then (ln(own / own_not) - ln(rest / rest_not)) / sqrt(1.0::double / own + 1.0::double / rest) end, 6) as z, round(n::double / total * ln(big_n::double / n_questions), 6) as tfidf from z""",
         "p7_found": f"with recursive {_WORDS}, {_groups('select a, b from near')} select group_id, id as question_id from grouped",
         "p8_found": f"select distinct doc_id, item_id from ({_grams('documents', 'doc_id', 'text')}) join ({_grams('test_items', 'item_id', 'item_text')}) using(g)",
+        "p8_leaks": f"""with hit as (select distinct d.doc_id, t.item_id, d.i as p from ({_grams('documents', 'doc_id', 'text')}) d join ({_grams('test_items', 'item_id', 'item_text')}) t using(g)),
+ st as (select *, p - lag(p) over (partition by doc_id, item_id order by p) as step from hit)
+select doc_id, item_id, cast(1 + count(*) filter (step > 12) as int) as spans, cast(sum(least(12, coalesce(step, 12))) as bigint) as words from st group by 1, 2""",
     }
