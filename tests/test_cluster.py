@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillmesh.operators import blocking, cluster, evaluate
+from quillmesh.operators import blocking, cluster, components, evaluate
 from quillmesh.operators.components import connected
 
 SIM = {(0, 1): 5.0, (0, 2): 3.0, (1, 2): 1.0, (0, 3): 0.5, (1, 3): 0.5, (2, 3): 2.5}
@@ -92,6 +92,45 @@ def test_components(spark):
     assert connected(e.limit(0)).count() == 0
 
 
+def vectors(spark, seed, n, terms=14):
+    rnd = random.Random(seed)
+    own = {k: {f"t{int(terms * rnd.random() ** 2)}": rnd.uniform(0.05, 0.8) for _ in range(rnd.randint(0, 6))} for k in range(n)}
+    sim = {(a, b): sum(w * own[b][t] for t, w in own[a].items() if t in own[b]) for a in own for b in own if a < b}
+    return own, {k: s for k, s in sim.items() if s}, spark.createDataFrame([(k, t, w) for k, x in own.items() for t, w in x.items()], "rec_id bigint, term string, w double")
+
+
+def labels_of(n, edges):
+    """The smallest id that each of n records is linked to."""
+    label = list(range(n))
+    while True:
+        new = [min([label[k], *(label[a + b - k] for a, b in edges if k in (a, b))]) for k in range(n)]
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6])
+def test_components_over_terms(spark, least):
+    n = 40
+    own, sim, rows = vectors(spark, 4, n)
+    part = {k: {k % 3, k % 5 + 10} for k in range(n)}
+    within = spark.createDataFrame([(k, p) for k, ps in part.items() for p in ps], "rec_id bigint, part bigint")
+    for met, given in ((lambda a, b: True, None), (lambda a, b: part[a] & part[b], within)):
+        want = labels_of(n, [k for k, s in sim.items() if s >= least and met(*k)])
+        got = {r.rec_id: r.cluster for r in cluster.single_link_terms(ids(spark, n), rows, least, given).collect()}
+        assert got == dict(enumerate(want))
+
+
+def test_links_by_several_terms_only(spark):
+    # no term alone suffices for 1 and 2, nor for 2 and 3; 4 and 5 are linked by one, and not to the others
+    rows = [(k, t, 0.4) for k, ts in {1: "abcd", 2: "abcdefgh", 3: "efgh"}.items() for t in ts] + [(4, "x", 0.9), (5, "x", 0.9), (3, "x", 0.1), (6, "a", 0.4)]
+    df = spark.createDataFrame(rows, "rec_id bigint, term string, w double")
+    assert {r.rec_id: r.component for r in components.over_terms(df, 0.5).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert components.over_terms(df.limit(0), 0.5).count() == 0
+    with pytest.raises(ValueError):
+        components.over_terms(df, 0.0)
+
+
 def test_canopies(spark):
     rnd = random.Random(5)
     n = 16
