@@ -6,6 +6,7 @@ import pytest
 
 from quillmesh.operators import blocking, cluster, components, evaluate
 from quillmesh.operators.components import connected
+from quillmesh.session import Scratch
 
 SIM = {(0, 1): 5.0, (0, 2): 3.0, (1, 2): 1.0, (0, 3): 0.5, (1, 3): 0.5, (2, 3): 2.5}
 
@@ -148,6 +149,26 @@ def test_canopies(spark):
         blocking.canopies(ids(spark, 2), got, 0.7, 0.6)
 
 
+def test_canopies_in_batches(spark):
+    from quillmesh.operators.index import Near
+
+    n = 40
+    own, _, rows = vectors(spark, 7, n)
+    ones = {k: dict.fromkeys(x, 1.0) for k, x in own.items()}
+    y = spark.createDataFrame([(k, t, w) for k, x in ones.items() for t, w in x.items()], "rec_id bigint, term string, w double")
+    s = {(a, b): sum(w for t, w in own[a].items() if t in own[b]) for a in own for b in own if a != b}
+    left, want = set(range(n)), set()
+    while left:
+        c = min(left)
+        left.discard(c)
+        near = {p for p in left if s[p, c] > 0.1}
+        want |= {(c, c)} | {(c, p) for p in near}
+        left -= {p for p in near if s[p, c] > 0.5}
+    for batch in (5, 64):
+        got = blocking.canopies_of(ids(spark, n), Near(rows, y), 0.1, 0.5, Scratch(spark), batch)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_canopy_clusters_keep_the_invariant(spark):
     sim = {(a, b): 1.0 for a in range(36) for b in range(a + 1, 36) if a % 12 == b % 12}
     canopy = spark.createDataFrame([(c, r) for c in range(6) for r in range(36) if r % 6 == c or r % 3 == c], "center bigint, rec_id bigint")
