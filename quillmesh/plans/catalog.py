@@ -457,7 +457,8 @@ def mean_link_clusters(spark, d):
 
 @query()
 def canopy_clusters(spark, d):
-    return blocking.canopy_clusters(_canopies(spark, d), _linked(spark, d), LINK)
+    canopy = _canopies(spark, d)
+    return cluster.single_link_terms(canopy, _entity_index(spark, d).terms(), LINK, canopy.select("rec_id", F.col("center").alias("part")))
 
 
 @query()
