@@ -188,6 +188,26 @@ def test_iterative_blocking(spark):
     assert all((local[a] == local[b]) == (a % 12 == b % 12) for a in range(48) for b in range(48))
 
 
+def test_iterative_blocking_over_terms(spark):
+    n = 24
+    _, sim, rows = vectors(spark, 11, n, 20)
+    met = [(c, str(r * 7 % (c + 4)), r) for c in range(2) for r in range(n - 1)]
+    block = spark.createDataFrame(met, "criterion int, key string, rec_id bigint")
+    own = {}
+    for c, key, r in met:
+        own.setdefault(r, set()).add((c, key))
+    label, changed = list(range(n)), True
+    while changed:
+        of = {x: set().union(*(own.get(k, set()) for k in range(n) if label[k] == x)) for x in label}
+        pair = next(((label[a], label[b]) for (a, b), s in sim.items() if s >= 0.4 and label[a] != label[b] and of[label[a]] & of[label[b]]), None)
+        changed = pair is not None
+        if changed:
+            label = [min(pair) if x in pair else x for x in label]
+    got = {r.rec_id: r.cluster for r in blocking.iterative_blocking_terms(ids(spark, n), block, rows, 0.4).collect()}
+    assert got == dict(enumerate(label))
+    assert 1 < len(set(label)) < n
+
+
 def test_minhash_blocks(spark):
     p = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "a", 1), (3, "c", 1)], "rec_id bigint, term string, cnt int")
     keys = {r.rec_id: r.key for r in blocking.minhash_keys(p, 1, 0b111).collect()}
