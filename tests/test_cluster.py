@@ -79,6 +79,16 @@ def test_parts_of_the_scores(spark):
     assert {r.feature: r.value for r in none.informative(("tfidf", "named")).collect()} == {"tfidf": 0.0, "named": 0.0}
 
 
+def test_informative_features_merge_over_the_sum(spark, tmp_path):
+    from quillmesh.plans import catalog
+
+    # each name is in two of three records, so its idf is 0: only the entities link, and 1 and 3 share nothing
+    rows = [(1, "Ada. Ada. Ada."), (2, "Ada. Cy."), (3, "Cy.")]
+    spark.createDataFrame(rows, "question_id bigint, body string").write.parquet(str(tmp_path / "questions.parquet"))
+    got = [tuple(r) for r in catalog.informative_features(spark, str(tmp_path)).collect()]
+    assert got == [("named", 3.5), ("referers", 1.0), ("category", 0.0), ("tfidf", 0.0)]
+
+
 def test_trace(spark):
     gold = spark.createDataFrame([(0, "x"), (1, "x"), (2, "x"), (3, "y")], "rec_id bigint, label string")
     for small in (512, 1):
