@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillmesh.operators import blocking, cluster, components, evaluate
+from quillmesh.operators import blocking, blocks, cluster, components, evaluate, linkage
 from quillmesh.operators.components import connected
 from quillmesh.session import Scratch
 
@@ -264,3 +264,54 @@ def test_merged_clusterings(spark):
     a = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "rec_id bigint, cluster bigint")
     b = spark.createDataFrame([(2, 2), (3, 2), (4, 4), (5, 4)], "rec_id bigint, cluster bigint")
     assert groups(merged(a, b)) == [[1, 2, 3], [4, 5]]
+
+
+def vectors(n, seed=5):
+    """Weights of twelve terms, and the products of any two records."""
+    rnd = random.Random(seed)
+    w = {r: {t: rnd.randint(1, 9) / 8 for t in range(12) if rnd.random() < 0.3} for r in range(n)}
+    sim = {(a, b): sum(u * w[b][t] for t, u in w[a].items() if t in w[b]) for a in range(n) for b in range(a + 1, n)}
+    return [(r, f"t{t}", u) for r, x in w.items() for t, u in x.items()], {k: s for k, s in sim.items() if s}
+
+
+def test_pairs_above_a_sum_come_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    monkeypatch.setattr(blocks, "PART", 0.2)  # some terms dense, some not
+    data, sim = vectors(40)
+    rows = spark.createDataFrame([(r, int(t[1:]), u) for r, t, u in data], "rec_id bigint, term bigint, w double")
+    found = lambda *of: sorted((x["a"], x["b"], round(x["s"], 9)) for x in blocks.above(rows, 0.7, *of).collect())
+    want = sorted((a, b, round(s, 9)) for (a, b), s in sim.items() if s >= 0.7)
+    assert want and found() == want
+    some = spark.createDataFrame([(k,) for k in range(0, 40, 3)], "rec_id bigint")
+    assert found(some) == [x for x in want if x[0] % 3 == 0 or x[1] % 3 == 0]
+
+
+@pytest.mark.parametrize("kind", ["min", "mean"])
+def test_linkage_over_terms_agrees_with_one_by_one(spark, kind):
+    data, sim = vectors(24)
+    gold = spark.createDataFrame([(k, str(k % 3)) for k in range(20)], "rec_id bigint, label string")
+    rows = spark.createDataFrame(data, "rec_id bigint, term string, w double")
+    want = sorted(map(sorted, cluster.agglomerate_local([frozenset([k]) for k in range(26)], sim, 0.7, kind)))
+    assert 5 < len(want) < 22
+    plain = cluster.agglomerate(ids(spark, 26), pairs(spark, sim), 0.7, kind, gold=gold)
+    shape = lambda x: [sorted(round(r["score"], 9) for r in x), sum(r["pairs"] for r in x), sum(r["hits"] for r in x)]
+    for left in (10**6, 4):  # at once, and in rounds over all tasks
+        found = linkage.agglomerate_terms(ids(spark, 26), rows, 0.7, kind, gold=gold, left=left)
+        assert groups(found.clusters) == want
+        assert shape(found.merges.collect()) == shape(plain.merges.collect())
+
+
+def without_pairs(spark, monkeypatch, name):
+    """A query of the catalogue where joining all postings is an error."""
+    from quillmesh.operators import index
+    from quillmesh.plans import catalog
+
+    def joined(*_):
+        raise AssertionError("all pairs are made")
+
+    monkeypatch.setattr(index, "dot", joined)
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_complete_link_clusters_make_no_pairs_below_the_threshold(spark, monkeypatch):
+    assert without_pairs(spark, monkeypatch, "complete_link_clusters") > 0
