@@ -315,3 +315,7 @@ def without_pairs(spark, monkeypatch, name):
 
 def test_complete_link_clusters_make_no_pairs_below_the_threshold(spark, monkeypatch):
     assert without_pairs(spark, monkeypatch, "complete_link_clusters") > 0
+
+
+def test_mean_link_clusters_make_no_pairs_below_the_threshold(spark, monkeypatch):
+    assert without_pairs(spark, monkeypatch, "mean_link_clusters") > 0
