@@ -319,3 +319,7 @@ def test_complete_link_clusters_make_no_pairs_below_the_threshold(spark, monkeyp
 
 def test_mean_link_clusters_make_no_pairs_below_the_threshold(spark, monkeypatch):
     assert without_pairs(spark, monkeypatch, "mean_link_clusters") > 0
+
+
+def test_merge_trace_makes_no_pairs_below_the_threshold(spark, monkeypatch):
+    assert without_pairs(spark, monkeypatch, "merge_trace") > 0
