@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quillmesh.config import Options
-from quillmesh.operators import index, similarity
+from quillmesh.operators import blocks, index, pairs, similarity
 
 DOCS = {0: "colorless green ideas sleep furiously", 1: "jolly jolly green giant", 2: "jolly roger himself", 3: "drove my chevy to the levee", 4: "but the levee was dry"}
 
@@ -114,3 +114,36 @@ def test_lookups_numbers_and_filters(spark, built):
     assert sorted(map(tuple, index.numbered(terms).collect())) == [("", 0), ("a", 1), ("b", 2)]
     rows = spark.createDataFrame([(1, w) for w in ("The", "whose", "ox", "levee")], "rec_id bigint, term string")
     assert [r.term for r in index.Index(rows, keep=index.telling()).df.collect()] == ["levee"]
+
+
+def test_pairs_that_share_a_term_come_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    monkeypatch.setattr(blocks, "PART", 0.2)  # some terms dense, some not
+    rnd = random.Random(7)
+    own, more = ({3 * k: {f"t{int(20 * rnd.random() ** 2)}": rnd.randint(1, 8) / 8 for _ in range(rnd.randint(0, 4))} for k in range(40)} for _ in range(2))
+    x, y = (spark.createDataFrame([(k, t, w) for k, terms in side.items() for t, w in terms.items()], "rec_id bigint, term string, w double") for side in (own, more))
+    dot = lambda of: {(a, b): sum(w * of[b][t] for t, w in of[a].items() if t in of[b]) for a in of for b in of if a < b and of[a].keys() & of[b].keys()}
+    assert {(r.a, r.b): r.s for r in pairs.sums({"s": x}).collect()} == dot(own)
+    one, two = dot(own), dot(more)
+    got = [tuple(r) for r in pairs.sums({"u": x, "v": y}).collect()]
+    assert sorted(got) == sorted((*k, one.get(k, 0.0), two.get(k, 0.0)) for k in one.keys() | two.keys())
+    assert 0 < len(one) < 40 * 39 / 2
+    to = {(r.x, r.y): r.score for r in pairs.directed(x).collect()}
+    assert to == {(a, b): sum(w for t, w in own[a].items() if t in own[b]) for a in own for b in own if a != b and own[a].keys() & own[b].keys()}
+
+
+def by_blocks(spark, monkeypatch, name):
+    """Rows of a query of the catalogue where joining postings, or rows for single products, is an error."""
+    from quillmesh.plans import catalog
+
+    def joined(*_):
+        raise AssertionError("postings are joined")
+
+    monkeypatch.setattr(index, "dot", joined)
+    monkeypatch.setattr(similarity, "dot", joined, raising=False)
+    monkeypatch.setattr(index.Near, "to", joined)
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_tfidf_pair_similarity_comes_block_by_block(spark, monkeypatch):
+    assert by_blocks(spark, monkeypatch, "tfidf_pair_similarity") > 0
