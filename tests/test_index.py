@@ -147,3 +147,7 @@ def by_blocks(spark, monkeypatch, name):
 
 def test_tfidf_pair_similarity_comes_block_by_block(spark, monkeypatch):
     assert by_blocks(spark, monkeypatch, "tfidf_pair_similarity") > 0
+
+
+def test_doc_scores_comes_block_by_block(spark, monkeypatch):
+    assert by_blocks(spark, monkeypatch, "doc_scores") > 0
