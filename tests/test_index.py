@@ -155,3 +155,7 @@ def test_doc_scores_comes_block_by_block(spark, monkeypatch):
 
 def test_entity_scores_comes_block_by_block(spark, monkeypatch):
     assert by_blocks(spark, monkeypatch, "entity_scores") > 0
+
+
+def test_entity_similarity_comes_block_by_block(spark, monkeypatch):
+    assert by_blocks(spark, monkeypatch, "entity_similarity") > 0
