@@ -159,3 +159,7 @@ def test_entity_scores_comes_block_by_block(spark, monkeypatch):
 
 def test_entity_similarity_comes_block_by_block(spark, monkeypatch):
     assert by_blocks(spark, monkeypatch, "entity_similarity") > 0
+
+
+def test_pair_similarity_total_comes_block_by_block(spark, monkeypatch):
+    assert by_blocks(spark, monkeypatch, "pair_similarity_total") > 0
