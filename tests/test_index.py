@@ -163,3 +163,27 @@ def test_entity_similarity_comes_block_by_block(spark, monkeypatch):
 
 def test_pair_similarity_total_comes_block_by_block(spark, monkeypatch):
     assert by_blocks(spark, monkeypatch, "pair_similarity_total") > 0
+
+
+def test_pr_curve_makes_and_sorts_no_rows_for_pairs(spark, monkeypatch):
+    from quillmesh.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "precision_recall", None)
+    assert by_blocks(spark, monkeypatch, "pr_curve") > 0
+
+
+@pytest.mark.parametrize("labels", [3, 40])
+def test_curve_over_terms_agrees_with_the_one_over_pairs(spark, monkeypatch, labels):
+    from quillmesh.operators import curve, evaluate
+
+    monkeypatch.setattr(curve, "STRIP", 3)
+    monkeypatch.setattr(curve, "STRIPS", 2)
+    monkeypatch.setattr(curve, "BATCH", 7)
+    rnd = random.Random(3)
+    data = [(5 * k, f"t{t}", rnd.randint(1, 4) / 4) for k in range(40) for t in range(9) if rnd.random() < 0.25]
+    rows = spark.createDataFrame(data, "rec_id bigint, term string, w double")
+    gold = spark.createDataFrame([(5 * k, k % labels) for k in range(36)], "rec_id bigint, label bigint")
+    plain = lambda df: {(r.a, r.b): tuple(r[2:]) for r in df.collect()}
+    got, want = plain(curve.precision_recall(rows, gold)), plain(evaluate.precision_recall(pairs.sums({"s": rows}), gold))
+    assert len(want) > 200 and got.keys() == want.keys()
+    assert all(math.isclose(x, y, abs_tol=1e-6) for k in want for x, y in zip(got[k], want[k], strict=True))
